@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import shared_spans
+from quotemill.llm import leakage, shared_spans, tokenize_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_corpus.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_pairs(table(spark, sf_dir, "documents"))
 
@@ -25,6 +37,9 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_overlaps": p7_overlaps,
         "p8_found": p8_found,
         "p8_shared": p8_shared,
     }

@@ -22,53 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.llm.rolling import CHUNK, ROLLING
 from quotemill.runtime import blocks, code_points, materialise
 
 GRAM = 100
-CHUNK = 1 << 18
 INDEX_SEGMENTS = 8192
 REFINE_FROM = 64
 BLOCK_FROM = 4096
-MAX_U64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-BASE = 0x9E3779B97F4A7C15
-MULT = np.uint64(0xBF58476D1CE4E5B9)
-
-
-class Rolling:
-    """Hashes of all grams of a code point array: sums of c[i+j] * BASE**-j modulo 2**64, then mixed."""
-
-    def __init__(self) -> None:
-        self.size = 0
-
-    def grow(self, n: int) -> None:
-        if n > self.size:
-            n = max(n, CHUNK)
-            up, down = np.full(n + 1, np.uint64(BASE)), np.full(n + 1, np.uint64(pow(BASE, -1, 1 << 64)))
-            up[0] = down[0] = 1
-            self.up, self.down, self.size = np.multiply.accumulate(up), np.multiply.accumulate(down), n
-
-    def prefix(self, codes: np.ndarray) -> np.ndarray:
-        self.grow(len(codes))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(0x51ED)) * self.down[: len(codes)], out=sums[1:])
-        return sums
-
-    def at(self, sums: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-        return mix((sums[start + length] - sums[start]) * self.up[start])
-
-    def grams(self, codes: np.ndarray, length: int) -> np.ndarray:
-        sums = self.prefix(codes)
-        return mix((sums[length:] - sums[:-length]) * self.up[: len(codes) - length + 1])
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x *= MULT
-    x ^= x >> np.uint64(32)
-    return x
-
-
-ROLLING = Rolling()
 
 
 def winnow(codes: np.ndarray, lengths: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
