@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quotemill.plans import data_quality
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(data_quality.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(data_quality.ORACLE)
