@@ -4,7 +4,8 @@ The text around a figure is segmented by dynamic programming over tries of prefi
 roots (currencies, counts of pieces) and exponents (how many pieces a price covers). A word can mean
 several things (c: cents or hundred; M: thousand pieces; thousand: a scale or a basis), so every
 decomposition is scored, with priors of the field: a total has no price basis. What the text leaves
-open comes from the feed, and a price basis that nothing states from quantity x price against the total.
+open comes from the description or the feed, and a price basis that nothing states from quantity x price
+against the total.
 
 Defined results: null and empty fields, and fields without a figure, give no amount and no case.
 Unknown words beside a figure are passed over at a cost. Without a known feed bare figures are dollars
@@ -14,12 +15,14 @@ with a decimal point.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spellings of currencies, scales and counts. Single letters keep their case.
 CURRENCY = {
@@ -31,12 +34,22 @@ SCALE = {1000.0: ("k", "K", "T", "tsd.", "Tsd.", "tsd", "thousand", "Tausend", "
 COUNT = {
     1.0: ("pc", "pcs", "pc.", "piece", "pieces", "ea", "each", "unit", "units", "St.", "Stk.", "Stück", "pza", "pièce"),
     2.0: ("pr", "pair", "pairs", "Paar", "paire", "par"),
-    12.0: ("dz", "doz", "dozen", "Dutzend", "douzaine", "docena"),
-    100.0: ("C", "hundred", "Hundert", "cent"),
-    1000.0: ("M", "thousand", "Tausend", "mille"),
+    12.0: ("dz", "doz", "dozen", "Dutzend", "douzaine", "docena", "dúzia"),
+    100.0: ("C", "hundred", "Hundert", "cent", "ciento", "cien", "cento", "sto", "сто"),
+    1000.0: ("M", "thousand", "Tausend", "mille", "millar", "mil", "milhar", "tysiąc", "тысячу"),
 }
-LINK = ("/", "per", "the", "a", "an", "p.", "je", "pro", "par", "por", "for", "@")
+LINK = ("/", "per", "the", "by the", "a", "an", "p.", "je", "pro", "par", "por", "au", "à la", "la", "for", "za", "за", "PU", "@")
 ALONE = {1.0, 2.0, 12.0}  # counts that need no link before them: each, pair, dozen
+#: Letters of other scripts and full-width digits that a description may hold in place of Latin ones, other spaces, and what is invisible.
+LOOKS_LIKE = (
+    "АВЕКМНОРСТУХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο０１２３４５６７８９\u00a0\u2002\u2007\u2009\u202f\u3000\u00ad\u200b\u200c\u200d\u2060\ufeff",
+    "ABEKMHOPCTYXaeopcyxijsABEZHIKMNOPTYXo0123456789      ",
+)
+#: How a description says what its price covers: a word for price or sale, a bracket, a comma or a dash, and a count behind a link.
+PHRASE = (
+    r"(?i)(?:(?:\b(?:price|prices|priced|sold|preise?|prix|precio|preço|prezzo|cena|цена)\b|[,(]|\s-\s)\s*|\[(?=PU ))"
+    r"((?:per|je|by the|au|à la|por|pro|par|za|за|la)\s+(?:[0-9]+ ?k?|hundred|hundert|cent|ciento|cien|cento|C|dozen|doz|dz|dutzend|douzaine|docena|dúzia|thousand|tausend|mille|millar|mil|milhar|M|pair|pairs|paar|paire|par)\b|PU [0-9]+)"
+)
 UNIT_PRICE, TOTAL = "unit_price", "total"
 #: Log priors of the field's dimension for a basis and for a scaled currency.
 PRIOR = {UNIT_PRICE: {"basis": -0.5, "scale": -1.0, "currency": -0.2}, TOTAL: {"basis": -20.0, "scale": -0.5, "currency": -0.2}}
@@ -138,49 +151,54 @@ def segment(unit: str, field: str) -> tuple[str | None, float, float | None]:
     return currency, scale, basis
 
 
-def _segments(field: str):
-    @F.pandas_udf("currency string, scale double, basis double")
-    def run(units: pd.Series) -> pd.DataFrame:
-        codes, values = pd.factorize(units)
-        rows = [segment(u, field) for u in values]
-        table = pd.DataFrame(rows + [(None, None, None)], columns=["currency", "scale", "basis"])  # -1 is null
-        table["scale"], table["basis"] = table["scale"].astype(float), table["basis"].astype(float)
-        return table.iloc[codes].reset_index(drop=True)
+FIGURE = re.compile(r"-?[0-9](?:[0-9.,']|[\u00a0\u202f](?=[0-9]))*")
 
-    return run
 
+def figure(raw: str, mark: str | None) -> float:
+    """The number of a figure: the last of two kinds of marks is the decimal mark; a single mark is, unless it stands
+    before three digits and is not the feed's; several marks of one kind part thousands."""
+    raw = raw.rstrip(".,'").replace("'", "").replace("\u00a0", "").replace("\u202f", "")
+    dots, commas = raw.count("."), raw.count(",")
+    if dots and commas:
+        decimal = "." if raw.rindex(".") > raw.rindex(",") else ","
+    elif dots + commas == 1:
+        decimal = "." if dots else ","
+        if len(raw) - raw.index(decimal) == 4 and decimal != (mark or "."):
+            decimal = ""
+    else:
+        decimal = ""
+    for c in ".,":
+        raw = raw.replace(c, "." if c == decimal else "")
+    try:
+        return float(raw)
+    except ValueError:
+        return math.nan
 
-FIGURE = r"^([^0-9]*?)(-?[0-9](?:[0-9.,']|[  ](?=[0-9]))*)(.*)$"
 
+@lru_cache(maxsize=1 << 16)
+def amount(text: str, mark: str | None, field: str) -> tuple[float | None, str | None, float, float | None]:
+    """(figure, currency, scale, basis) as the text states them; no figure, no amount."""
+    found = FIGURE.search(text)
+    if not found or math.isnan(value := figure(found[0], mark)):
+        return None, None, 1.0, None
+    return value, *segment(text[: found.start()].strip() + "#" + text[found.end() :].strip(), field)
 
-def figure(text: Column, mark: Column) -> Column:
-    """The number in a text: the last of two kinds of marks is the decimal mark; a single mark is, unless it stands
-    before three digits and is not the feed's."""
-    raw = F.regexp_replace(F.regexp_extract(text, FIGURE, 2), "['  ]|[.,]$", "")
-    dot, comma = F.instr(F.reverse(raw), "."), F.instr(F.reverse(raw), ",")
-    dots, commas = F.length(raw) - F.length(F.replace(raw, F.lit("."))), F.length(raw) - F.length(F.replace(raw, F.lit(",")))
-    own = F.coalesce(mark, F.lit("."))
-    decimal = (
-        F.when((dots > 0) & (commas > 0), F.when(dot < comma, ".").otherwise(","))
-        .when(dots + commas == 0, ".")
-        .when(dots + commas > 1, F.lit(None))
-        .when(dots == 1, F.when((dot == 4) & (own != "."), F.lit(None)).otherwise("."))
-        .otherwise(F.when((comma == 4) & (own != ","), F.lit(None)).otherwise(","))
-    )
-    plain = F.when(decimal.isNull(), F.regexp_replace(raw, "[.,]", "")).when(decimal == ".", F.replace(raw, F.lit(","))).otherwise(F.translate(raw, ",.", "."))
-    return plain.try_cast("double")
+
+AMOUNTS = "n double, p_figure double, p_currency string, p_scale double, stated double, t_figure double, t_currency string, t_scale double, said double"
 
 
-def unit_text(text: Column) -> Column:
-    """The text with its figure as #; null without a figure."""
-    return F.when(F.regexp_extract(text, FIGURE, 2) != "", F.concat(F.trim(F.regexp_extract(text, FIGURE, 1)), F.lit("#"), F.trim(F.regexp_extract(text, FIGURE, 3))))
+AMOUNT_TYPE = T.StructType([T.StructField(f.split()[0], T.StringType() if f.endswith("string") else T.DoubleType()) for f in AMOUNTS.split(", ")])
 
 
-def with_units(rows: DataFrame, column: str, field: str, prefix: str) -> DataFrame:
-    """Adds prefix_figure, prefix_currency, prefix_scale and prefix_basis, as the text of `column` states them."""
-    unit = F.when(F.length(F.trim(column)) > 0, unit_text(F.col(column)))
-    rows = rows.withColumn(f"{prefix}_unit", unit).withColumn(f"{prefix}_figure", F.when(F.col(f"{prefix}_unit").isNotNull(), figure(F.col(column), F.col("mark"))))
-    return rows.withColumn(f"{prefix}_seg", _segments(field)(f"{prefix}_unit"))
+@F.pandas_udf(AMOUNT_TYPE)
+def amounts(quantity: pd.Series, price: pd.Series, total: pd.Series, said: pd.Series, mark: pd.Series) -> pd.DataFrame:
+    rows = []
+    for q, p, t, s, m in zip(quantity, price, total, said, mark):
+        p = amount(p, m, UNIT_PRICE) if p else (None, None, 1.0, None)
+        t = amount(t, m, TOTAL) if t else (None, None, 1.0, None)
+        rows.append((amount(q, m, TOTAL)[0] if q else None, *p, *t[:3], segment("# " + s, UNIT_PRICE)[2] if s else None))
+    table = pd.DataFrame(rows, columns=[f.split()[0] for f in AMOUNTS.split(", ")])
+    return table.astype({c: float for c in table.columns if not c.endswith("currency")})
 
 
 def with_feed(rows: DataFrame, summary: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -197,33 +215,26 @@ def factors(money_units: DataFrame) -> tuple[dict[str, float], list[float]]:
     return {"USD": 1.0, "USC": 0.01, "EUR": 1.08, "KUSD": 1000.0} | currency, sorted({r["factor"] for r in rows if r["unit_kind"] == "basis"} | {1.0, 2.0, 12.0, 100.0, 1000.0})
 
 
-def in_dollars(prefix: str, worth: dict[str, float]) -> tuple[Column, Column]:
-    """(dollars in the figure's unit, whether text or feed say that it is not the dollar)."""
-    code = F.coalesce(F.col(f"{prefix}_seg.currency"), F.col("bare"), F.lit("USD"))
+def in_dollars(prefix: str, worth: dict[str, float]) -> Column:
+    """Dollars in the figure's unit: as its text says, else as its feed."""
+    code = F.coalesce(F.col(f"{prefix}_currency"), F.col("bare"), F.lit("USD"))
     factor = F.coalesce(F.create_map([F.lit(x) for kv in worth.items() for x in kv])[code], F.lit(1.0))
-    scale = F.coalesce(F.col(f"{prefix}_seg.scale"), F.lit(1.0))
-    factor = F.when((scale != 1) & F.col(f"{prefix}_seg.currency").isNull(), scale).otherwise(factor * scale)
-    return factor, factor != 1.0
-
-
-def quantity_of(column: str) -> Column:
-    return figure(F.col(column), F.col("mark"))
+    return F.when((F.col(f"{prefix}_scale") != 1) & F.col(f"{prefix}_currency").isNull(), F.col(f"{prefix}_scale")).otherwise(factor * F.col(f"{prefix}_scale"))
 
 
 def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: DataFrame, money_units: DataFrame) -> DataFrame:
     """rows(doc_id, quantity, price, total, ...) with price_usd (a piece), price_case, total_usd and total_case."""
     worth, bases = factors(money_units)
     df = with_feed(rows, summary, feeds)
-    df = with_units(with_units(df, price, UNIT_PRICE, "p"), total, TOTAL, "t").withColumn("n", quantity_of("quantity"))
-    p, p_case = in_dollars("p", worth)
-    t, t_case = in_dollars("t", worth)
-    df = df.withColumns({"p_factor": p, "t_factor": t, "p_case": p_case, "t_case": t_case, "stated": F.col("p_seg.basis")})
+    said = F.regexp_extract(F.translate("description", *LOOKS_LIKE), PHRASE, 1) if "description" in rows.columns else F.lit("")
+    df = df.withColumn("a", amounts("quantity", F.col(price), F.col(total), said, "mark")).select("*", "a.*")
+    df = df.withColumns({"p_factor": in_dollars("p", worth), "t_factor": in_dollars("t", worth)})
+    df = df.withColumns({"p_case": F.col("p_factor") != 1, "t_case": F.col("t_factor") != 1})
     df = df.withColumn("whole", F.col("n") * F.col("p_figure") * F.col("p_factor") / F.coalesce("stated", F.lit(1.0))).withColumn("sum", F.col("t_figure") * F.col("t_factor"))
-    step = lambda c: F.when(c.isNotNull(), F.lit(0.006)).otherwise(0.006)
 
     def close(divisor: float, times: float = 1.0) -> Column:
         # figures have two decimals: half a unit of each, and a little for exchange rates
-        slack = step(F.col("n")) * (F.col("t_factor") * times + F.abs(F.col("n")) * F.col("p_factor") / divisor) + 0.0005 * F.abs(F.col("sum") * times)
+        slack = 0.006 * (F.col("t_factor") * times + F.abs(F.col("n")) * F.col("p_factor") / divisor) + 0.0005 * F.abs(F.col("sum") * times)
         return F.abs(F.col("whole") / divisor - F.col("sum") * times) <= slack
 
     known = F.col("whole").isNotNull() & F.col("sum").isNotNull() & (F.col("sum") != 0) & (F.col("whole") != 0)
@@ -231,8 +242,9 @@ def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: D
     for b in sorted(bases, reverse=True):
         if b > 1:
             guess = F.when(close(b), F.lit(b)).otherwise(guess)
-    hidden = F.when(known & F.col("stated").isNull() & ~close(1.0), guess)
-    told = F.col("t_seg.currency").isNull() & F.col("t_seg.scale").eqNullSafe(F.lit(1.0))
+    # a basis in the description holds unless the figures agree without it
+    hidden = F.when(F.col("stated").isNull(), F.when(known & ~close(1.0), F.coalesce(guess, "said")).when(~F.coalesce(known, F.lit(False)), F.col("said")))
+    told = F.col("t_currency").isNull() & (F.col("t_scale") == 1)
     other = F.lit(None).cast("double")
     for f in sorted(set(worth.values()) - {1.0}):
         other = F.when(close(1.0, f) & (F.abs(F.lit(f)) < 1000), F.lit(f)).otherwise(other)
@@ -251,7 +263,7 @@ def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: D
 
 def dollar_items(items: DataFrame, summary: DataFrame, feeds: DataFrame, money_units: DataFrame) -> DataFrame:
     """(item_id, unit_price_usd, cost_usd, unit_price_case, cost_case) for every item."""
-    rows = items.select("item_id", "doc_id", "quantity", "unit_price", "cost")
+    rows = items.select("item_id", "doc_id", "description", "quantity", "unit_price", "cost")
     df = priced(rows, "unit_price", "cost", summary, feeds, money_units)
     return df.select("item_id", F.round("price_usd", 6).alias("unit_price_usd"), F.round("total_usd", 6).alias("cost_usd"), F.col("price_case").alias("unit_price_case"), F.col("total_case").alias("cost_case"))
 
