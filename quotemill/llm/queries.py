@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import leakage, shared_spans, tokenize_corpus
+from quotemill.llm import canonical_text, encoding_repair, leakage, shared_spans, tokenize_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.garbled_items(table(spark, sf_dir, "quote_items"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_repair.repaired(table(spark, sf_dir, "quote_items"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.lookalike_items(table(spark, sf_dir, "quote_items"))
+
+
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.canonical_items(table(spark, sf_dir, "quote_items"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_corpus.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +53,10 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_restored": p1_restored,
+        "p4_found": p4_found,
+        "p4_canonical": p4_canonical,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_overlaps": p7_overlaps,
