@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.llm import canonical_text, encoding_repair, leakage, shared_spans, tokenize_corpus
+from quotemill.llm import canonical_text, encoding_repair, leakage, product_match, shared_spans, tokenize_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_repair.repaired(table(spark, sf_dir, "quote_items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_match.same_product(table(spark, sf_dir, "catalog_items"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text.lookalike_items(table(spark, sf_dir, "quote_items"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_restored": p1_restored,
+        "p2_found": p2_found,
         "p4_found": p4_found,
         "p4_canonical": p4_canonical,
         "p6_ids": p6_ids,
