@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import data_quality
+from quotemill.plans import data_quality, quotes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(data_quality.QUERIES)
+    return quotes.QUERIES | data_quality.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data_quality.ORACLE)
+    return quotes.ORACLE | data_quality.ORACLE
