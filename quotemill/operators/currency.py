@@ -34,5 +34,5 @@ def cid_share(docs: DataFrame) -> DataFrame:
 def written(amount: Column, code: Column) -> Column:
     """An amount with its currency sign: behind it for EUR, GBP and CHF, else before it; null stays null."""
     sign = F.when(code == "EUR", "€").when(code == "GBP", "£").when(code == "CHF", "CHF").when(code == "JPY", "¥").when(code == "INR", "₹").otherwise("$")
-    figure = F.format_string("%.2f", amount.cast("decimal(18,2)"))
+    figure = amount.cast("decimal(18,2)").cast("string")
     return F.when(amount.isNull(), F.lit(None)).when(code.isin("EUR", "GBP", "CHF"), F.concat(figure, F.lit(" "), sign)).otherwise(F.concat(sign, figure))

@@ -163,10 +163,9 @@ def structure(lines: DataFrame) -> DataFrame:
 
 def columns(lines: DataFrame, top: int = 5, least: int = 3) -> DataFrame:
     """(doc_id, position, n_lines, place): where gaps of two or more blanks begin, the `top` commonest that occur `least` times."""
-    pieces = F.split("line", r"\s{2,}", -1)
-    gaps = F.regexp_extract_all("line", F.lit(r"\s{2,}"), 0)
-    before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(gaps, 1, i - 1), F.lit(0), lambda s, x: s + F.length(x))
-    spots = lines.where(F.size(gaps) > 0).select("doc_id", "line_no", F.explode(F.transform(F.sequence(F.lit(1), F.size(gaps)), before)).alias("position"))
+    from quotemill.operators.numbers import with_tokens
+
+    spots = with_tokens(lines.where(F.col("line").rlike(r"\s{2,}")), "gaps", "line", r"\s{2,}").select("doc_id", "line_no", F.explode(F.transform("gaps", lambda g: g["start"])).alias("position"))
     counted = spots.groupBy("doc_id", "position").agg(F.count(F.lit(1)).alias("n_lines"), F.min(F.struct("line_no", "position")).alias("seen"))
     ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n_lines"), "seen")))
     return ranked.where((F.col("place") <= top) & (F.col("n_lines") >= least)).select("doc_id", "position", "n_lines", "place")

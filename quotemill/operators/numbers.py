@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from quotemill import patterns as P
 
 
-def tokens(text: Column, pattern: str) -> Column:
-    """Array of (start, raw) of all matches; start counts from 0. The text between matches gives the places."""
-    raw, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    before = lambda i: F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(raw, 1, i), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(raw, lambda x, i: F.struct(before(i).alias("start"), x.alias("raw")))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later expressions refer to instead of computing it again: a generator of one row parts them."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def with_tokens(df: DataFrame, name: str, text: str, pattern: str) -> DataFrame:
+    """Adds an array of (start, raw) of all matches; start counts from 0. The text between matches gives the places."""
+    m = once(df, "_m", F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"), F.split(text, pattern, -1).alias("between")))
+    before = lambda i: F.aggregate(F.slice("_m.between", F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("_m.raw", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
+    return once(m, name, F.transform("_m.raw", lambda x, i: F.struct(before(i).alias("start"), x.alias("raw")))).drop("_m")
 
 
 def number_tokens(lines: DataFrame, context: int = 10) -> DataFrame:
     """(doc_id, line_no, place, start, raw, value, is_money, is_quantity): each number with what stands around it."""
-    t = lines.select("doc_id", "line_no", "line", F.posexplode(tokens(F.col("line"), P.NUMBER)).alias("place", "t"))
+    t = with_tokens(lines.select("doc_id", "line_no", "line"), "all", "line", P.NUMBER).select("doc_id", "line_no", "line", F.posexplode("all").alias("place", "t"))
     t = t.select("doc_id", "line_no", "place", "t.start", "t.raw", F.replace("t.raw", F.lit(","), F.lit("")).cast("decimal(38,2)").cast("double").alias("value"), "line")
     low = F.greatest(F.col("start") - context, F.lit(0))
     around = F.lower(F.substring("line", low + 1, F.col("start") - low + F.length("raw") + context))

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, grouping, lines
-from quotemill.operators.numbers import cents, tokens
+from quotemill.operators.numbers import cents, once, with_tokens
 
 
 def items_of(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, description, quantity, unit_price, cost) of lines(doc_id, line_no, line)."""
-    t = rows.withColumn("t", tokens(F.col("line"), P.TOKEN)).where(F.size("t") >= 3)
-    t = t.withColumn("t", F.transform("t", lambda x: F.struct(x["start"].alias("start"), F.when(x["raw"].rlike(r"^\d{1,6}$"), x["raw"].try_cast("int")).alias("q"), cents(x["raw"]).alias("c"))))
+    t = with_tokens(rows, "t", "line", P.TOKEN).where(F.size("t") >= 3)
+    t = once(t, "t", F.transform("t", lambda x: F.struct(x["start"].alias("start"), F.when(x["raw"].rlike(r"^\d{1,6}$"), x["raw"].try_cast("int")).alias("q"), cents(x["raw"]).alias("c"))))
 
     def window(i: Column) -> Column:
         q, p, total = F.col("t")[i]["q"], F.col("t")[i + 1]["c"], F.col("t")[i + 2]["c"]
@@ -26,7 +26,7 @@ def items_of(rows: DataFrame) -> DataFrame:
         return F.when(fits, F.struct((off <= 1).cast("int").alias("exact"), i.alias("i"), q.cast("int").alias("q"), p.alias("p"), total.alias("total"), F.col("t")[i]["start"].alias("start")))
 
     best = F.array_max(F.filter(F.transform(F.sequence(F.lit(0), F.size("t") - 3), window), lambda w: w.isNotNull()))
-    t = t.withColumn("w", best).where("w is not null")
+    t = once(t, "w", best).where("w is not null")
     described = lines.clean_description(F.substring("line", F.lit(1), F.col("w.start")))
     return t.select("doc_id", "line_no", described.alias("description"), F.col("w.q").alias("quantity"), (F.col("w.p") / 100).alias("unit_price"), (F.col("w.total") / 100).alias("cost"))
 
@@ -62,7 +62,7 @@ def results(docs: DataFrame) -> DataFrame:
 def permutation_match(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, quantity, unit_price, cost): the first three of a line's figures i < j < k, and the first order of
     them, with quantity x price = total within a tenth."""
-    t = rows.withColumn("c", F.transform(F.regexp_extract_all("line", F.lit(P.TOKEN), 0), lambda x: cents(x))).where((F.size("c") >= 3) & (F.size("c") <= 12))
+    t = once(rows, "c", F.transform(F.regexp_extract_all("line", F.lit(P.TOKEN), 0), lambda x: cents(x))).where((F.size("c") >= 3) & (F.size("c") <= 12))
     orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
     at = F.sequence(F.lit(0), F.size("c") - 1)
     triples = F.flatten(F.transform(at, lambda i: F.flatten(F.transform(at, lambda j: F.filter(F.transform(at, lambda k: F.array(i, j, k)), lambda x: (x[0] < x[1]) & (x[1] < x[2]))))))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring
+from quotemill.runtime import shared_dir
+from quotemill.streaming import ingest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -521,3 +525,21 @@ def _(s, d):
 @query("results_json")
 def _(s, d):
     return parsing.results(docs(s, d)).select("doc_id", F.to_json(F.struct("summary", "groups")).alias("json"))
+
+
+@query(
+    "stream_arrivals",
+    """SELECT time_bucket(INTERVAL 7 days, received_at, TIMESTAMP '1970-01-01 00:00:00') AS window_start, source, count(*) AS n_docs FROM documents WHERE received_at IS NOT NULL GROUP BY 1, 2""",
+)
+def _(s, d):
+    # the whole table as a stream, worked off in the shared folder; complete mode, for the last windows are still open
+    where = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    known = table(s, d, "documents").schema
+    stream = ingest.arriving(s, f"{d}/documents.parquet", known)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out")
+
+    q = ingest.arrivals_by_window(stream, "received_at").writeStream.foreachBatch(keep).option("checkpointLocation", f"{where}/state").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{where}/out")
