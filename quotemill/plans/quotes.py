@@ -174,7 +174,7 @@ def _expand_oracle() -> str:
     # one CTE a word, for nested expressions would double with each
     names, ctes = list(P.ABBREVIATIONS.items()), ["e0 AS MATERIALIZED (SELECT item_id, description, description AS x FROM quote_items)"]
     for k, (short, full) in enumerate(names, 1):
-        ctes.append(f"e{k} AS MATERIALIZED (SELECT item_id, description, CASE WHEN contains(lower(description), '{short}') THEN regexp_replace(x, '\\b{short}\\b', '{full}', 'gi') ELSE x END AS x FROM e{k - 1})")
+        ctes.append(f"e{k} AS MATERIALIZED (SELECT item_id, description, CASE WHEN contains(lower(description), '{short}') THEN regexp_replace(x, '(^|[^\\pL\\pN_]){short}($|[^\\pL\\pN_])', '\\1{full}\\2', 'gi') ELSE x END AS x FROM e{k - 1})")
     return f"WITH {', '.join(ctes)} SELECT item_id, x AS description FROM e{len(names)}"
 
 

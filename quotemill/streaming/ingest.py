@@ -27,8 +27,8 @@ def parsed(stream: DataFrame) -> DataFrame:
 
 def arrivals_by_window(stream: DataFrame, at: str, width: str = "7 days", late: str = LATE) -> DataFrame:
     """(window_start, source, n_docs): documents by week of arrival; a window is closed once the watermark has passed it."""
-    counted = stream.where(F.col(at).isNotNull()).withWatermark(at, late).groupBy(F.window(at, width), "source").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counted.select(F.col("window.start").alias("window_start"), "source", "n_docs")
+    counted = stream.where(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp_ltz")).withWatermark(at, late).groupBy(F.window(at, width), "source").agg(F.count(F.lit(1)).alias("n_docs"))
+    return counted.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "source", "n_docs")
 
 
 def run_available(result: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
