@@ -7,7 +7,7 @@ words inside a window leave one mask that still hits. Hashes of the test items m
 documents in a join, and every hit is checked word by word.
 
 Defined results: null texts, texts without words and items under twelve words match nothing; a
-repeated passage or item gives one row a pair.
+repeated passage or item gives one row a pair. Case is folded character by character, so that ß and SS differ.
 """
 
 from __future__ import annotations
