@@ -532,10 +532,11 @@ def _(s, d):
     """SELECT time_bucket(INTERVAL 7 days, received_at, TIMESTAMP '1970-01-01 00:00:00') AS window_start, source, count(*) AS n_docs FROM documents WHERE received_at IS NOT NULL GROUP BY 1, 2""",
 )
 def _(s, d):
-    # the whole table as a stream, worked off in the shared folder; complete mode, for the last windows are still open
+    # the whole table, laid down in the shared folder, as a stream; complete mode, for the last windows are still open
     where = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    known = table(s, d, "documents").schema
-    stream = ingest.arriving(s, f"{d}/documents.parquet", known)
+    arrivals = table(s, d, "documents").select("received_at", "source")
+    arrivals.write.parquet(f"{where}/in")
+    stream = ingest.arriving(s, f"{where}/in", arrivals.schema)
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/out")
