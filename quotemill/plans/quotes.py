@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring
-from quotemill.runtime import shared_dir
+from quotemill.runtime import shared_dir, spread
 from quotemill.streaming import ingest
 
 
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
