@@ -6,20 +6,17 @@ TOKEN = r"\d{1,3}(?:[.,]\d{3})+[.,]\d{2}\b|\d+[.,]\d{2}\b|\d+"
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d{2})?"
 ROW_NUMBER = r"\d+(?:,\d{3})*(?:\.\d{2})?"
 
-#: Lines of a quote that hold no item.
-SKIP = [
-    r"\btotal\s*:", r"\bsubtotal\s*:", r"\bbalance\s*:", r"\bgrand\s+total\b", r"\bnet\s+total\b", r"\btax\s*:", r"\bdiscount\s*:", r"\bshipping\s*:",
-    r"^\s*total\s*\$", r"^\s*subtotal\s*\$", r"^\s*tax\s*\$",
-    r"\bquote\s*#", r"\binvoice\s*#", r"\border\s*#", r"\bpo\s*#", r"\bdate\s*:", r"\bpage\s*:", r"\bdue\s+date\s*:", r"\bvalid\s+(?:until|through|for)\b",
-    r"\breport\s+generated\s*:", r"\bpage\s+\d+\s+of\s+\d+\b",
-    r"\bphone\s*:", r"\bfax\s*:", r"\bemail\s*:", r"\baddress\s*:", r"\bcontact\s*:", r"\battn\s*:", r"\bto\s*:", r"\bfrom\s*:",
-    r"\bterms\s+and\s+conditions\b", r"\bpayment\s+terms\b", r"\bthank\s+you\b", r"\bsignature\b", r"\bprinted\s+name\b",
-    r"^\s*freight\s*(?:shipping)?\s*$", r"^\s*shipping\s*(?:and\s+handling)?\s*$", r"^\s*lead\s+time\s*", r"^\s*delivery\s*", r"^\s*via\s*:",
-    r"\bdescription\s*:", r"\bunit\s+price\b", r"\bamount\s*:", r"\bqty\s*:", r"\bquantity\s*:", r"\bitem\s+code\b", r"\bpart\s+number\b",
-    r"service/product\s+description", r"hours/quantity", r"hourly\s+fee",
-    r"\bquote\s+by\b", r"\border\s+by\b", r"\bmoq\s*:", r"\bweeks\s+after\b", r"\breceipt\s+of\b", r"\bquotation\s*:",
+#: Lines of a quote that hold no item: words before a colon, words before a number sign, whole phrases, beginnings of lines.
+#: One word boundary stands before them all, so that long lines are tried at the beginnings of words only.
+BEFORE_COLON = ["total", "subtotal", "balance", "tax", "discount", "shipping", r"(?:due\s+)?date", "page", r"report\s+generated", "phone", "fax", "email", "address", "contact", "attn", "to", "from", "description", "amount", "qty", "quantity", "moq", "quotation"]
+BEFORE_SIGN = ["quote", "invoice", "order", "po"]
+PHRASES = [
+    r"grand\s+total", r"net\s+total", r"valid\s+(?:until|through|for)", r"page\s+\d+\s+of\s+\d+", r"terms\s+and\s+conditions", r"payment\s+terms", r"thank\s+you", "signature", r"printed\s+name",
+    r"unit\s+price", r"item\s+code", r"part\s+number", r"quote\s+by", r"order\s+by", r"weeks\s+after", r"receipt\s+of",
 ]
-SKIP_PATTERN = "|".join(f"(?:{p})" for p in SKIP)
+BEGINNINGS = [r"total\s*\$", r"subtotal\s*\$", r"tax\s*\$", r"freight\s*(?:shipping)?\s*$", r"shipping\s*(?:and\s+handling)?\s*$", r"lead\s+time", "delivery", r"via\s*:"]
+ANYWHERE = [r"service/product\s+description", r"hours/quantity", r"hourly\s+fee"]
+SKIP_PATTERN = rf"\b(?:(?:{'|'.join(BEFORE_COLON)})\s*:|(?:{'|'.join(BEFORE_SIGN)})\s*#|(?:{'|'.join(PHRASES)})\b)|^\s*(?:{'|'.join(BEGINNINGS)})|{'|'.join(ANYWHERE)}"
 
 INCOMPLETE_WORDS = ["service", "product", "freight", "rogue", "item", "part", "component", "assembly", "material", "labor", "work", "setup", "tooling"]
 CONTINUATION = r"^(?:machine|de-burr|and|material|clear|steel|polypropylene)|^[a-z\s\-_:]+$|^\w+\s+(?:and|de-burr|material)"
