@@ -275,6 +275,17 @@ def dollar_groups(groups: DataFrame, summary: DataFrame, feeds: DataFrame, money
     return df.select("group_id", F.round("total_usd", 6).alias("total_price_usd"), F.col("total_case").alias("total_price_case"))
 
 
+def read_items(items: DataFrame, summary: DataFrame, feeds: DataFrame, money_units: DataFrame) -> DataFrame:
+    """items with quantity as a whole number (fractions are null), unit_price in dollars a piece and cost in dollars, and
+    unread: (field, text) of the filled fields that give no number."""
+    rows = items.withColumns({f"{c}_text": F.col(c) for c in ("quantity", "unit_price", "cost")})
+    df = priced(rows, "unit_price", "cost", summary, feeds, money_units)
+    whole = F.when((F.col("n") >= 0) & (F.col("n") < 1e9) & (F.col("n") == F.floor("n")), F.col("n").cast("int"))
+    df = df.withColumns({"quantity": whole, "unit_price": F.round("price_usd", 6), "cost": F.round("total_usd", 6)})
+    missed = [F.when((F.trim(f"{c}_text") != "") & F.col(c).isNull(), F.struct(F.lit(c).alias("field"), F.col(f"{c}_text").alias("text"))) for c in ("quantity", "unit_price", "cost")]
+    return df.select(*items.columns, F.filter(F.array(*missed), lambda x: x.isNotNull()).alias("unread"))
+
+
 def foreign_amounts(items: DataFrame, groups: DataFrame, summary: DataFrame, feeds: DataFrame, money_units: DataFrame) -> DataFrame:
     """(record_type, record_id, field) of every figure that is not in US dollars (a piece)."""
     i = dollar_items(items, summary, feeds, money_units)

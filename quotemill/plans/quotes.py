@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill import patterns as P
-from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring
+from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring, units
 from quotemill.runtime import shared_dir, spread
 from quotemill.streaming import ingest
 
@@ -25,11 +25,14 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_of(docs(spark, sf_dir))
 
 
-def typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """quote_items with numbers where the fields are plain."""
+def read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "quote_items").select("item_id", "doc_id", "line_no", "description", "quantity", "unit_price", "cost")
-    plain = lambda c: F.when(F.trim(c).rlike(r"^-?\d{1,12}(\.\d{1,4})?$"), F.trim(c).try_cast("decimal(18,2)").cast("double"))
-    return items.withColumns({"quantity": grouping.whole(F.col("quantity")), "unit_price": plain("unit_price"), "cost": plain("cost")})
+    return units.read_items(items, *(table(spark, sf_dir, n) for n in ("quote_summary", "feeds", "money_units")))
+
+
+def typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quote_items with whole quantities, and prices a piece and costs in US dollars."""
+    return read_items(spark, sf_dir).drop("unread")
 
 
 QUERIES: dict = {}
@@ -404,6 +407,12 @@ def _(s, d):
     return typed_items(s, d).groupBy("doc_id").agg(F.sum(F.coalesce("quantity", F.lit(1))).alias("total_quantity"))
 
 
+@query("unread_amounts")
+def _(s, d):
+    t = read_items(s, d).select("item_id", "doc_id", F.explode("unread").alias("u"))
+    return t.select("item_id", "doc_id", "u.field", "u.text")
+
+
 @query(
     "currency_basic",
     "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN contains(text, '$') THEN 'USD' WHEN contains(text, '€') THEN 'EUR' WHEN contains(text, '£') THEN 'GBP' WHEN contains(text, '¥') THEN 'JPY' WHEN contains(text, '₹') THEN 'INR' ELSE 'USD' END AS currency FROM documents",

@@ -48,6 +48,19 @@ def test_dollars(spark):
     assert got[4] == (5.4, 5.4, True, True) and got[5][2:] == (False, False) and got[6][1:] == (0.12, False, True)
 
 
+def test_items_are_read_in_every_way_of_writing(spark):
+    items = spark.createDataFrame(
+        [(1, 1, 0, "a", "500 pcs", "$5.86", "US$ 2,930.00"), (2, 1, 1, "a", "Qty 2", "9,48", "18.96"), (3, 2, 2, "a", "500.00", "13,91", "6.955,00 USD"), (4, 1, 3, "a", " 1", "1,108.50", "1,108.50"), (5, 1, 4, "a", "some", "", "on request"), (6, 1, 5, "a", "2.5", "2.00", "5.00"), (7, 9, 6, None, None, None, "-3")],
+        "item_id long, doc_id long, line_no int, description string, quantity string, unit_price string, cost string",
+    )
+    summary = spark.createDataFrame([(1, 1), (2, 2)], "doc_id long, feed_id int")
+    feeds = spark.createDataFrame([(1, ".", "USD"), (2, ",", "USD")], "feed_id int, decimal_mark string, amount_unit string")
+    money = spark.createDataFrame([("EUR", "currency", 1.08)], "unit_code string, unit_kind string, factor double")
+    got = {r["item_id"]: r for r in units.read_items(items, summary, feeds, money).collect()}
+    assert [tuple(got[i][4:7]) for i in range(1, 8)] == [(500, 5.86, 2930.0), (2, 9.48, 18.96), (500, 13.91, 6955.0), (1, 1108.5, 1108.5), (None, None, None), (None, 2.0, 5.0), (None, None, -3.0)]
+    assert {i: [tuple(u) for u in r["unread"]] for i, r in got.items() if r["unread"]} == {5: [("quantity", "some"), ("cost", "on request")], 6: [("quantity", "2.5")]}
+
+
 def test_stream_counts_what_arrived(spark, tmp_path):
     from quotemill.streaming import ingest
 
