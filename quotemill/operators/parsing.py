@@ -6,8 +6,13 @@ ones win, then the last. Lines without a fitting window give no item.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import permutations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, grouping, lines
@@ -59,20 +64,53 @@ def results(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(summary, "doc_id", "left").join(grouping.nested_groups(items), "doc_id", "left")
 
 
+def hundredths(raw: str) -> int:
+    """cents() of one figure, of any length."""
+    digits = int(raw.replace(".", "").replace(",", ""))
+    return digits if len(raw) > 2 and raw[-3] in ".," else digits * 100
+
+
+def first_triple(figures: list[int]) -> tuple[int, int, int] | None:
+    """(quantity, price, total) in hundredths of the first i < j < k, and the first order of them, that fits.
+
+    Whether a figure begins a triple is told by searches among the sorted figures behind it, so a line of n figures costs
+    about n * n * log n steps, and all pairs behind are tried for one figure only.
+    """
+    behind = sorted(v for v in figures if v > 0)
+
+    def among(low: int, high: int, but: int) -> bool:
+        return bisect_right(behind, high) - bisect_left(behind, low) > (low <= but <= high)
+
+    def begins(v: int) -> bool:
+        for a in behind:
+            if 10 <= v <= 1_000_000 and among(-(-v * a // 110), v * a // 90, a):  # v is the quantity, a the price
+                return True
+            if 10 <= a <= 1_000_000 and (among(-(-v * a // 110), v * a // 90, a) or among(-(-90 * v // a), 110 * v // a, a)):  # a is the quantity, v the price or the total
+                return True
+        return False
+
+    for i, v in enumerate(figures):
+        if v <= 0:
+            continue
+        del behind[bisect_left(behind, v)]
+        if begins(v):
+            for j in range(i + 1, len(figures)):
+                for k in range(j + 1, len(figures)):
+                    for q, p, total in permutations((v, figures[j], figures[k])):
+                        if 10 <= q <= 1_000_000 and p > 0 and total > 0 and 90 * total <= q * p <= 110 * total:
+                            return q, p, total
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("quantity", "unit_price", "cost")]))
+def triples(raws: pd.Series) -> pd.DataFrame:
+    hits = [first_triple([hundredths(raw) for raw in line]) for line in raws]
+    return pd.DataFrame([[x / 100 for x in hit] if hit else [None] * 3 for hit in hits], columns=["quantity", "unit_price", "cost"], dtype=float)
+
+
 def permutation_match(rows: DataFrame) -> DataFrame:
-    """(doc_id, line_no, quantity, unit_price, cost): the first three of a line's figures i < j < k, and the first order of
-    them, with quantity x price = total within a tenth."""
-    t = once(rows, "c", F.transform(F.regexp_extract_all("line", F.lit(P.TOKEN), 0), lambda x: cents(x))).where((F.size("c") >= 3) & (F.size("c") <= 12))
-    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
-    at = F.sequence(F.lit(0), F.size("c") - 1)
-    triples = F.flatten(F.transform(at, lambda i: F.flatten(F.transform(at, lambda j: F.filter(F.transform(at, lambda k: F.array(i, j, k)), lambda x: (x[0] < x[1]) & (x[1] < x[2]))))))
-    t = t.select("doc_id", "line_no", "c", F.posexplode(triples).alias("place", "x"))
-
-    def tried(o: tuple[int, int, int], n: int) -> Column:
-        q, p, total = (F.col("c")[F.col("x")[k]] for k in o)
-        fits = q.between(10, 1000000) & (p > 0) & (total > 0) & (10 * F.abs(q * p - 100 * total) <= 100 * total)
-        return F.when(fits, F.struct(F.lit(n).alias("n"), q.alias("q"), p.alias("p"), total.alias("total")))
-
-    t = t.withColumn("hit", F.coalesce(*[tried(o, n) for n, o in enumerate(orders)])).where("hit is not null")
-    first = t.groupBy("doc_id", "line_no").agg(F.min_by("hit", "place").alias("hit"))
-    return first.select("doc_id", "line_no", (F.col("hit.q") / 100).alias("quantity"), (F.col("hit.p") / 100).alias("unit_price"), (F.col("hit.total") / 100).alias("cost"))
+    """(doc_id, line_no, quantity, unit_price, cost): the first three of a line's figures i < j < k, however many there are,
+    and the first order of them, with quantity x price = total within a tenth."""
+    t = once(rows.select("doc_id", "line_no", "line"), "raw", F.regexp_extract_all("line", F.lit(P.TOKEN), 0)).where(F.size("raw") >= 3)
+    t = t.select("doc_id", "line_no", triples("raw").alias("hit")).where("hit.quantity is not null")
+    return t.select("doc_id", "line_no", "hit.*")

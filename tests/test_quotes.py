@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring
@@ -27,6 +30,23 @@ def test_items_prefer_exact_windows_and_keep_part_numbers(spark):
     assert [r[3:] for r in rows(parsing.parse_quotes(euro))] == [(10, 157.74, 1577.4)]
 
 
+def test_first_triple_of_lines_of_any_length(spark):
+    def brute(c):
+        for t in itertools.combinations(c, 3):
+            for q, p, total in itertools.permutations(t):
+                if 10 <= q <= 1000000 and p > 0 and total > 0 and 10 * abs(q * p - 100 * total) <= 100 * total:
+                    return q, p, total
+
+    draw = random.Random(5)
+    for n in [3, 5, 12, 13, 21, 40] * 30:
+        c = [draw.choice([0, 100, draw.randrange(10**4), draw.randrange(10**6, 10**9)]) for _ in range(n)]
+        assert parsing.first_triple(c) == brute(c)
+    primes = "9000017 9100009 9200003 9300017 9400019 9500021 9600013 9700013 9800009 9900013 " * 2
+    lines_ = [(1, 0, primes + "bolt 7 3.00 21.00"), (1, 1, primes), (1, 2, "1 " + "9" * 30 + " x " + "9" * 30), (1, 3, "a 2 3"), (1, 4, None)]
+    got = rows(parsing.permutation_match(spark.createDataFrame(lines_, "doc_id long, line_no int, line string")))
+    assert got == [(1, 0, 7.0, 3.0, 21.0), (1, 2, 1.0, 1e30, 1e30)]
+
+
 def test_merge_takes_in_continuations_only_after_a_row(spark):
     text = "bracket 2 $3.00 $6.00\nmachine and de-burr\n\nmaterial\nplate 1 $2.00 $2.00"
     got = rows(lines.merge_continuations(lines.lines_of(spark.createDataFrame([(1, text)], DOC))))
