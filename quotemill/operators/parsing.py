@@ -1,7 +1,9 @@
-"""Items out of lines, by arithmetic: three figures in a row, quantity x price = total.
+"""Items out of lines, by arithmetic: three figures, quantity x price = total.
 
-Figures are read in any locale; all comparisons are in whole hundredths. Of several fitting windows of a line the exact
-ones win, then the last. Lines without a fitting window give no item.
+Figures are read in any locale; all comparisons are in whole hundredths. Three figures in a row are tried everywhere in a
+line, its last three also as price, quantity, total, and its first as the quantity of its last two. Of several fits the
+exact ones win, then three in a row, then the last. Lines without a fit give an item if their last three fit roughly, if
+they tell of a discount, or if they end in two amounts, price and total; else none.
 """
 
 from __future__ import annotations
@@ -16,23 +18,73 @@ from pyspark.sql import types as T
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, grouping, lines
-from quotemill.operators.numbers import cents, once, with_tokens
+from quotemill.operators.numbers import cents, infer_quantity, once, with_tokens
+
+
+SIGN = "[$€£¥₹]"
+MINUS = rf"(?:^|[\s(:])-{SIGN}?\s?$|{SIGN}\s?-$"
+REDUCTION = rf"\b(?:{'|'.join(P.DISCOUNT)})s?\b"
+SUMMARY = "|".join(pattern for _, pattern in P.ADJUSTMENTS)
 
 
 def items_of(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, description, quantity, unit_price, cost) of lines(doc_id, line_no, line)."""
-    t = with_tokens(rows, "t", "line", P.TOKEN).where(F.size("t") >= 3)
-    t = once(t, "t", F.transform("t", lambda x: F.struct(x["start"].alias("start"), F.when(x["raw"].rlike(r"^\d{1,6}$"), x["raw"].try_cast("int")).alias("q"), cents(x["raw"]).alias("c"))))
-
-    def window(i: Column) -> Column:
-        q, p, total = F.col("t")[i]["q"], F.col("t")[i + 1]["c"], F.col("t")[i + 2]["c"]
-        off = F.abs(q * p - total)
-        fits = q.between(1, 100000) & (p > 0) & (total > 0) & ((off <= 1) | (10 * off <= total))
-        return F.when(fits, F.struct((off <= 1).cast("int").alias("exact"), i.alias("i"), q.cast("int").alias("q"), p.alias("p"), total.alias("total"), F.col("t")[i]["start"].alias("start")))
-
-    best = F.array_max(F.filter(F.transform(F.sequence(F.lit(0), F.size("t") - 3), window), lambda w: w.isNotNull()))
-    t = once(t, "w", best).where("w is not null")
-    described = lines.clean_description(F.substring("line", F.lit(1), F.col("w.start")))
+    t = with_tokens(rows, "t", "line", P.TOKEN).where(F.size("t") >= 2)
+    t = once(t, "signed", F.col("line").rlike(rf"-{SIGN}?\s?\d"))
+    before = lambda x: F.substring("line", F.greatest(x["start"] - 3, F.lit(1)), F.least(x["start"], F.lit(4)))
+
+    def read(x: Column) -> Column:
+        c = cents(x["raw"])
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), F.when(x["raw"].rlike(r"^\d{1,6}$"), x["raw"].try_cast("int")).alias("q"), F.when(F.col("signed") & before(x).rlike(MINUS), -c).otherwise(c).alias("c"))
+
+    def marked(x: Column) -> Column:
+        # whether a figure is written as an amount, with two decimals or a sign of currency, or as a percentage
+        behind, decimals = F.substring("line", x["end"] + 1, F.lit(4)), F.substring("line", x["end"] - 2, F.lit(3)).rlike(r"[.,]\d{2}$") & x["q"].isNull()
+        return F.struct(*(x[k].alias(k) for k in ("start", "end", "q", "c")), (decimals | before(x).rlike(rf"{SIGN}\s?-?$") | behind.rlike(rf"^\s?{SIGN}(?!\s?[-\d])")).alias("amount"), F.startswith(F.ltrim(behind), F.lit("%")).alias("percent"))
+
+    t = once(t, "t", F.transform("t", read))
+    n, at = F.size("t"), lambda i: F.get("t", i)
+
+    def item(level: Column, kind: int, i: Column, q: Column, p: Column, total: Column, left: Column, right: Column) -> Column:
+        return F.struct(level.alias("level"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), q.cast("int").alias("q"), p.alias("p"), total.alias("total"), left.cast("int").alias("left"), right.cast("int").alias("right"))
+
+    def fit(kind: int, i: Column, q: Column, price: Column, total: Column, left: Column, right: Column, rough: bool = False) -> Column:
+        p, total, total_figure = price["c"], total["c"], total
+        product = F.try_multiply(q["q"].cast("long"), p)
+        off = F.abs(product - total)
+        near = (off <= 50) | (off <= 0.15 * F.abs(product)) if rough else (off <= 1) | (10.0 * off <= F.abs(total))
+        level = F.lit(-1) if rough else (off <= 1).cast("int")
+        if kind < 3 or rough:
+            # figures apart from each other, or far from fitting: those of running text, dates and numbers of offers, would do so by chance
+            near &= (price["amount"] & total_figure["amount"]) | ((off <= 1) & (price["amount"] | total_figure["amount"]))
+        return F.when(q["q"].between(1, 100000) & (p != 0) & (total != 0) & near, item(level, kind, i, q["q"], p, total, left, right))
+
+    zero = F.lit(0)
+    in_a_row = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: fit(3, i, at(i), at(i + 1), at(i + 2), zero, at(i)["start"]))
+    t = once(t, "row", F.when(n >= 3, F.array_max(F.filter(in_a_row, lambda w: w.isNotNull()))))
+    # the rest only where no three in a row fit exactly
+    open_ = F.col("row").isNull() | (F.col("row.level") < 1)
+    t = once(t, "e", F.when(open_, F.transform(F.array(at(zero), at(F.lit(1)), at(n - 1), at(n - 2), F.get("t", F.greatest(n - 3, zero))), marked)))
+    first, second, *last = (F.col("e")[k] for k in range(5))
+    quantity_first = F.when(n >= 3, fit(2, zero, first, last[1], last[0], first["end"], last[1]["start"]))
+    price_first = F.when(n >= 3, fit(1, zero, last[1], last[2], last[0], zero, last[2]["start"]))
+    roughly = F.when(n >= 3, fit(3, n - 3, last[2], last[1], last[0], zero, last[2]["start"], rough=True))
+
+    # neither a discount nor a pair of amounts is what a summary line states
+    whole = ~F.lower("line").rlike(SUMMARY)
+    less = F.lower("line").rlike(REDUCTION) | ((F.length("line") <= 50) & F.exists("t", lambda x: x["c"] < 0))
+    side_by_side = lambda a, b: F.substring("line", a["end"] + 1, b["start"] - a["end"]).rlike(rf"^(?:\s|{SIGN}|-)*$")
+    counted = first["q"].between(1, 100000) & ~first["amount"] & ~first["percent"]
+    cost = F.try_multiply(first["q"].cast("long"), second["c"])
+    discount = F.when(whole & less & (first["start"] > 0) & second["amount"] & side_by_side(first, second), F.when(counted & (second["c"] != 0) & cost.isNotNull(), item(F.lit(-2), 0, zero, first["q"], second["c"], cost, zero, first["start"])).when(first["amount"] & (first["c"] != 0), item(F.lit(-2), 0, zero, F.lit(1), first["c"], first["c"], zero, first["start"])))
+    behind = F.substring("line", last[0]["end"] + 1, F.lit(8))
+    ends = last[0]["amount"] & last[1]["amount"] & side_by_side(last[1], last[0]) & behind.rlike(rf"^(?:\s|{SIGN})*$")
+    inferred = infer_quantity(last[1]["c"], last[0]["c"])
+    pair = F.when(whole & ends & (last[1]["c"] != 0) & (last[0]["c"] != 0) & F.substring("line", F.lit(1), last[1]["start"]).rlike(r"\p{L}{2}"), item(F.lit(-3), 0, zero, inferred, last[1]["c"], last[0]["c"], zero, last[1]["start"]))
+
+    others = F.array_max(F.filter(F.array(F.col("row"), quantity_first, price_first, roughly, discount, pair), lambda w: w.isNotNull()))
+    t = once(t, "w", F.when(open_, others).otherwise(F.col("row"))).where("w is not null")
+    described = lines.clean_description(F.substring("line", F.col("w.left") + 1, F.col("w.right") - F.col("w.left")))
     return t.select("doc_id", "line_no", described.alias("description"), F.col("w.q").alias("quantity"), (F.col("w.p") / 100).alias("unit_price"), (F.col("w.total") / 100).alias("cost"))
 
 
@@ -112,5 +164,5 @@ def permutation_match(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, quantity, unit_price, cost): the first three of a line's figures i < j < k, however many there are,
     and the first order of them, with quantity x price = total within a tenth."""
     t = once(rows.select("doc_id", "line_no", "line"), "raw", F.regexp_extract_all("line", F.lit(P.TOKEN), 0)).where(F.size("raw") >= 3)
-    t = t.select("doc_id", "line_no", triples("raw").alias("hit")).where("hit.quantity is not null")
+    t = once(t, "hit", triples("raw")).where("hit.quantity is not null")
     return t.select("doc_id", "line_no", "hit.*")

@@ -30,6 +30,18 @@ def test_items_prefer_exact_windows_and_keep_part_numbers(spark):
     assert [r[3:] for r in rows(parsing.parse_quotes(euro))] == [(10, 157.74, 1577.4)]
 
 
+def test_items_of_other_orders_pairs_and_discounts(spark):
+    text = [
+        "100 Low profile bushing 55x230 mm $3.01 $301.00", "Bracket 12.50 4 50.00", "Bracket $12.50 $50.00", "Setup €25,00 €25,00", "Plate 3 $2.00 $5.30", "Volume rebate 2 $-5.00", "Loyalty credit -$12.00 -$12.00",
+        "Rebate 2 -$5.00 -$10.00", "Quotation QM-388079 from Ubrico - 2024-09-17", "Tax 8.25 12.50", "Tel 000 0142", "a 305400000000000 99999 99 23",
+    ]
+    got = {r[1]: tuple(r[2:]) for r in rows(parsing.parse_quotes(spark.createDataFrame([(1, "\n".join(text))], DOC)))}
+    assert got == {
+        0: ("Low profile bushing 55x230 mm", 100, 3.01, 301.0), 1: ("Bracket", 4, 12.5, 50.0), 2: ("Bracket", 4, 12.5, 50.0), 3: ("Setup", 1, 25.0, 25.0), 4: ("Plate", 3, 2.0, 5.3),
+        5: ("Volume rebate", 2, -5.0, -10.0), 6: ("Loyalty credit -", 1, -12.0, -12.0), 7: ("Rebate", 2, -5.0, -10.0),
+    }
+
+
 def test_first_triple_of_lines_of_any_length(spark):
     def brute(c):
         for t in itertools.combinations(c, 3):
