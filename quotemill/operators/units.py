@@ -222,8 +222,9 @@ def in_dollars(prefix: str, worth: dict[str, float]) -> Column:
     return F.when((F.col(f"{prefix}_scale") != 1) & F.col(f"{prefix}_currency").isNull(), F.col(f"{prefix}_scale")).otherwise(factor * F.col(f"{prefix}_scale"))
 
 
-def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: DataFrame, money_units: DataFrame) -> DataFrame:
-    """rows(doc_id, quantity, price, total, ...) with price_usd (a piece), price_case, total_usd and total_case."""
+def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: DataFrame, money_units: DataFrame, total_first: bool = False) -> DataFrame:
+    """rows(doc_id, quantity, price, total, ...) with price_usd (a piece), price_case, total_usd and total_case. What could be
+    a total in thousands or a price for a thousand is the total's if total_first, else the price's."""
     worth, bases = factors(money_units)
     df = with_feed(rows, summary, feeds)
     said = F.regexp_extract(F.translate("description", *LOOKS_LIKE), PHRASE, 1) if "description" in rows.columns else F.lit("")
@@ -248,7 +249,12 @@ def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: D
     other = F.lit(None).cast("double")
     for f in sorted(set(worth.values()) - {1.0}):
         other = F.when(close(1.0, f) & (F.abs(F.lit(f)) < 1000), F.lit(f)).otherwise(other)
-    df = df.withColumn("hidden", hidden).withColumn("other", F.when(known & told & ~F.col("t_case") & F.col("hidden").isNull() & ~close(1.0), other))
+    df = df.withColumn("hidden", hidden)
+    if total_first:
+        scaled = known & told & ~F.col("t_case") & F.col("stated").isNull() & ~close(1.0) & (guess == 1000) & close(1.0, 1000.0)
+        other = F.when(F.coalesce(scaled, F.lit(False)), F.lit(1000.0)).otherwise(other)
+        df = df.withColumn("hidden", F.when(~F.coalesce(scaled, F.lit(False)), F.col("hidden")))
+    df = df.withColumn("other", F.when(known & told & ~F.col("t_case") & F.col("hidden").isNull() & ~close(1.0), other))
     basis = F.coalesce("stated", "hidden", F.lit(1.0))
     has_p, has_t = F.col("p_figure").isNotNull(), F.col("t_figure").isNotNull()
     return df.withColumns(
@@ -271,7 +277,7 @@ def dollar_items(items: DataFrame, summary: DataFrame, feeds: DataFrame, money_u
 def dollar_groups(groups: DataFrame, summary: DataFrame, feeds: DataFrame, money_units: DataFrame) -> DataFrame:
     """(group_id, total_price_usd, total_price_case) for every group."""
     rows = groups.select("group_id", "doc_id", "quantity", "unit_price", "total_price")
-    df = priced(rows, "unit_price", "total_price", summary, feeds, money_units)
+    df = priced(rows, "unit_price", "total_price", summary, feeds, money_units, total_first=True)
     return df.select("group_id", F.round("total_usd", 6).alias("total_price_usd"), F.col("total_case").alias("total_price_case"))
 
 

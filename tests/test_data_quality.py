@@ -48,6 +48,16 @@ def test_dollars(spark):
     assert got[4] == (5.4, 5.4, True, True) and got[5][2:] == (False, False) and got[6][1:] == (0.12, False, True)
 
 
+def test_bare_total_of_a_group_in_thousands(spark):
+    schema = "group_id long, doc_id long, quantity string, unit_price string, total_price string"
+    groups = spark.createDataFrame([(1, 1, "500", "25.00", "12.50"), (2, 1, "500", "25.00", "12500.00"), (3, 1, "10", "24.00", "20.00"), (4, 1, "500", "25.00 per thousand", "12.50"), (5, 1, "5", "2.00", "1000.00")], schema)
+    summary = spark.createDataFrame([(1, 1)], "doc_id long, feed_id int")
+    feeds = spark.createDataFrame([(1, ".", "USD")], "feed_id int, decimal_mark string, amount_unit string")
+    money = spark.createDataFrame([("KUSD", "currency", 1000.0)], "unit_code string, unit_kind string, factor double")
+    got = {r["group_id"]: tuple(r)[1:] for r in units.dollar_groups(groups, summary, feeds, money).collect()}
+    assert got == {1: (12500.0, True), 2: (12500.0, False), 3: (20.0, False), 4: (12.5, False), 5: (10.0, True)}
+
+
 def test_items_are_read_in_every_way_of_writing(spark):
     items = spark.createDataFrame(
         [(1, 1, 0, "a", "500 pcs", "$5.86", "US$ 2,930.00"), (2, 1, 1, "a", "Qty 2", "9,48", "18.96"), (3, 2, 2, "a", "500.00", "13,91", "6.955,00 USD"), (4, 1, 3, "a", " 1", "1,108.50", "1,108.50"), (5, 1, 4, "a", "some", "", "on request"), (6, 1, 5, "a", "2.5", "2.00", "5.00"), (7, 9, 6, None, None, None, "-3")],
