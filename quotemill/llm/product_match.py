@@ -162,8 +162,9 @@ def cells_of(points: np.ndarray, middle: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS) -> int:
-    """The fewest probes with which at least RECALL of the exact neighbours within the radius are found."""
+def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS, codes: np.ndarray | None = None) -> int:
+    """The fewest probes, up to all cells, with which at least RECALL of the exact neighbours within the radius are found.
+    Pairs of one code are left out, for they are found without probes; a code is empty where there is none."""
     index = cells_of(points, middle, 1)[:, 0]
     asked = np.arange(0, len(points), 50)
     square = (points * points).sum(1)
@@ -172,17 +173,20 @@ def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS)
         some = asked[a : a + 256]
         near = square[some, None] + square - 2 * points[some] @ points.T <= radius
         near[np.arange(len(some)), some] = False
+        if codes is not None:
+            near &= (codes[some, None] != codes) | (codes[some, None] == "")
         q, hit = np.nonzero(near)
         want.append(np.stack([some[q], hit], 1))
     want = np.concatenate(want) if want else np.empty((0, 2), np.int64)
     if not len(want):
         return 1
-    most = min(16, len(middle))
-    looked = cells_of(points[want[:, 0]], middle, most)
-    for probes in range(1, most + 1):
-        if (looked[:, :probes] == index[want[:, 1], None]).any(1).mean() >= RECALL:
-            return probes
-    return most
+    norm, rank = (middle * middle).sum(1), np.empty(len(want), np.int64)  # cells nearer to a point than its neighbour's
+    for a in range(0, len(want), 4096):
+        q, home = want[a : a + 4096, 0], index[want[a : a + 4096, 1]]
+        distance = norm - 2 * points[q] @ middle.T
+        rank[a : a + 4096] = (distance < distance[np.arange(len(q)), home][:, None]).sum(1)
+    found = np.cumsum(np.bincount(rank, minlength=len(middle))) / len(want)
+    return int(np.argmax(found >= RECALL)) + 1
 
 
 def parsed(texts: list[str | None]) -> list[tuple[list[float], str, list[int]]]:
@@ -197,9 +201,12 @@ def fit(listings: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     plain = keyed.where(~F.col("coded")).orderBy(F.xxhash64("description"), "description").limit(SAMPLE // 4).select("description").toPandas()["description"].tolist()
     rows = [r for r in parsed(coded) if r[0] and r[1]]
     vectors = train([r[2] for r in rows], np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
-    points = sums([r[2] for r in [*rows, *(r for r in parsed(plain) if r[0])]], vectors)
+    sample = [*rows, *(r for r in parsed(plain) if r[0])]
+    points = sums([r[2] for r in sample], vectors)
     middle = centroids(points, max(1, min(total // CELL_ROWS, len(points) // 20, 4096)))
-    return vectors, middle, tuned_probes(points[:20_000], middle), total
+    mixed = np.random.default_rng(0).permutation(len(points))[:20_000]  # listings with and without a code
+    probes = tuned_probes(points[mixed], middle, codes=np.array([r[1] for r in sample], dtype=str)[mixed])
+    return vectors, middle, max(probes, tuned_probes(points[:20_000], middle)), total  # the target holds with and without pairs of one code
 
 
 ENTRY = "cell int, bucket long, home boolean, text_id long, code string, sizes binary, vector binary"

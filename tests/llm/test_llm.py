@@ -152,3 +152,16 @@ def test_same_product(spark):
     got = {tuple(r) for r in product_match.same_product(df).collect()}
     want = {(a[0], b[0]) for a, b in combinations(rows, 2) if a[2] and a[2] == b[2]}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.05 * len(got)
+
+
+def test_probes_reach_neighbours_without_a_code_in_any_cell():
+    import numpy as np
+
+    from quotemill.llm import product_match
+
+    # two listings near each other, parted by 30 cells that are nearer to the first than the second's own
+    middle = np.concatenate([np.array([[0.0, 0.0]]), np.stack([np.full(30, -0.1), np.linspace(-0.1, 0.1, 30)], 1), np.array([[0.9, 0.0]])]).astype(np.float32)
+    points = np.array([[0.0, 0.0], [0.5, 0.0]], np.float32)
+    assert product_match.tuned_probes(points, middle, radius=0.3) == 32
+    assert product_match.tuned_probes(points, middle, radius=0.3, codes=np.array(["A", "A"])) == 1
+    assert product_match.tuned_probes(points, middle, radius=0.3, codes=np.array(["", ""])) == 32
