@@ -1,11 +1,10 @@
 """One consistent form of text that looks the same but is stored with different characters.
 
-The canonical form composes compatibility normalisation (NFKC), mapped white space, removal of
-default-ignorable characters, look-alike letters brought to the script of their text, and full case
-folding, computed once for each distinct value of a batch.
-
-Which texts are dirty is decided on single code points by a table of properties, for NFKC also changes
-characters that are no fault (superscripts, fractions, ordinals, trade marks).
+The canonical form composes removal of default-ignorable characters, mapped white space, look-alike
+letters brought to the script of their text, compatibility normalisation (NFKC) and full case folding,
+computed once for each distinct value of a batch. Its first stage, same_look(), stops short of letter
+case and of the characters whose compatibility form looks different (superscripts, fractions, ordinals,
+trade marks); a text is stored with other characters than it shows if this stage changes it.
 
 Defined results: null stays null, an empty text empty. A text in another script as a whole is clean.
 """
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm import encoding_repair
-from quotemill.runtime import code_points
+from quotemill.runtime import code_points, materialise
 
 WIDE, LIGATURE, ACCENT, IGNORED, SPACE, ALIKE = (1 << k for k in range(6))
 #: Cyrillic and Greek letters that look like Latin ones, with those.
@@ -53,6 +52,7 @@ def properties() -> np.ndarray:
         table[list(OTHER_IGNORED)] = IGNORED
         table[0x3000] = SPACE
         table[list(TO_LATIN)] = ALIKE
+        table[0x370:0x530][table[0x370:0x530] == 0] = ALIKE  # any letter of these scripts, beside which Latin look-alikes may stand
         _TABLE.append(table)
     return _TABLE[0]
 
@@ -121,16 +121,24 @@ def to_script(text: str) -> str:
     return WORD.sub(word, text)
 
 
-def foreign_letters(text: str) -> bool:
-    return to_script(text) != text
+def same_look(text: str) -> str:
+    """The text in the characters that it shows: no ignorable ones, one space for each, composed letters, full-width forms
+    and ligatures as plain letters, look-alikes in the script of their word. Only what looks the same is changed."""
+    if text.isascii():
+        return text
+    out = []
+    for c in text:
+        own = properties()[ord(c)] if c > "\x7f" else 0
+        if own & IGNORED:
+            continue
+        out.append(" " if own & SPACE else unicodedata.normalize("NFKC", c) if own & (WIDE | LIGATURE) else c)
+    return to_script(unicodedata.normalize("NFC", "".join(out)))
 
 
 def canonical(text: str) -> str:
     """The one form of a text."""
-    form = "".join(c for c in text if not (ord(c) > 0x7F and properties()[ord(c)] & IGNORED))
-    form = unicodedata.normalize("NFKC", form)
+    form = unicodedata.normalize("NFKC", same_look(text))
     form = "".join(" " if unicodedata.category(c) == "Zs" or c in "\t\n\r\v\f" else c for c in form)
-    form = to_script(form)
     return unicodedata.normalize("NFKC", re.sub(" +", " ", form).strip().casefold())
 
 
@@ -146,30 +154,19 @@ def canonical_items(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "description").mapInArrow(_canonical_rows, "item_id long, canonical string")
 
 
-def _dirty_rows(counts: np.ndarray):
-    def run(batches):
-        model = encoding_repair.model_of(counts)
-        for batch in batches:
-            texts = batch.column("description").dictionary_encode()
-            values = texts.dictionary
-            if not len(values):
-                continue
-            found = kinds(values)
-            sure = found & (WIDE | LIGATURE | ACCENT | IGNORED | SPACE) > 0
-            perhaps = np.flatnonzero(sure | (found & ALIKE > 0))
-            dirty = np.zeros(len(values), bool)
-            for i in perhaps.tolist():
-                text = values[i].as_py()
-                dirty[i] = (sure[i] or foreign_letters(text)) and not model.repair(text)[1]
-            keep = pa.array(dirty).take(texts.indices).fill_null(False)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").filter(keep)], names=["item_id"])
-
-    return run
+def _dirty_rows(batches):
+    for batch in batches:
+        texts = batch.column("description").dictionary_encode()
+        perhaps = kinds(texts.dictionary) > 0 if len(texts.dictionary) else []  # all that same_look() can change
+        dirty = pa.array([bool(p) and (t := v.as_py()) != same_look(t) for p, v in zip(perhaps, texts.dictionary)], pa.bool_())
+        keep = dirty.take(texts.indices).fill_null(False)
+        yield pa.RecordBatch.from_arrays([batch.column("item_id").filter(keep), batch.column("description").filter(keep)], names=["item_id", "description"])
 
 
 def lookalike_items(items: DataFrame) -> DataFrame:
     """item_id of every item whose description is stored with other characters than it seems to hold; texts that were
     decoded wrongly are another problem's cases."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "description")
-    counts = encoding_repair.train(items).counts
-    return items.where(F.col("description").rlike(encoding_repair.NOT_ASCII)).mapInArrow(_dirty_rows(counts), "item_id long")
+    dirty = materialise(items.where(F.col("description").rlike(encoding_repair.NOT_ASCII)).mapInArrow(_dirty_rows, "item_id long, description string"), "dirty")
+    labels = encoding_repair.labelled_words(items)[1]
+    return dirty.select("item_id").join(encoding_repair.garbled_ids(dirty, labels), "item_id", "left_anti")

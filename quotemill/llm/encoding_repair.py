@@ -3,16 +3,21 @@
 A hidden Markov model labels the characters of a word. One state is clean; every other state stands for
 an encoding pair (how the bytes were written, how they were read) and emits what that pair makes of a
 clean character. All states score the clean characters they stand for by one model of character
-trigrams, so a garbled word is explained best by the pair that turns it into likely text. Each labelled
-span gets its state's inverse transform.
-
-The trigram counts cover the whole corpus, as sums over hashed buckets (a table of fixed size). They are
-learnt by Viterbi training: words that decode strictly as UTF-8 read wrongly are left out at first, then
+trigrams, so a garbled word is explained best by the pair that turns it into likely text. A path that
+turns the whole word into one the corpus knows gets the emission of that word, too. Each labelled span
+gets its state's inverse transform; the words of one text are put right by one pair where one explains
+them all, for a text was decoded wrongly as a whole.
+
+Every distinct word is labelled once, and the words found garbled are joined back to the texts. Counts
+of words are exact: the words that garbled ones may stand for are looked up by a join. The trigrams are
+sums over BUCKETS hashed places an order in each of two tables, of which the lesser sum counts: the size of
+the model, which is sent to every task. They are learnt by Viterbi training: words that decode strictly as UTF-8 read wrongly are left out at first, then
 all words that the model itself calls garbled.
 
 Defined results: null and empty texts are no case. A text with U+FFFD is always a case; a single lost
 letter is filled in where the trigrams around it leave little doubt. Later changes of letter case, and
-invisible or full-width characters within a garbled word, do not hide it.
+invisible or full-width characters within a garbled word, do not hide it. A no-break space or soft hyphen
+alone is read as a letter only if that makes a known word.
 """
 
 from __future__ import annotations
@@ -27,12 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.runtime import materialise
-
-BUCKETS, KINDS = 1 << 17, 5
-#: A word that one state turns into a word this many times as frequent is garbled, whatever its trigrams.
-VOCABULARY, KNOWN = 8, 5
-ENTER, LEAVE, SWITCH = -4.5, -0.7, -8.0
+from quotemill.runtime import materialise, spread
+
+#: Places of the trigram model an order, whatever the corpus: trigrams are bounded by the alphabets, words are not.
+BUCKETS, ORDERS, TABLES = 1 << 18, 3, 2
+#: A reading that makes a word seen KNOWN times or more, and VOCABULARY times as often as the word itself, has its emission.
+VOCABULARY, KNOWN, LEXICON = 8, 5, 5.5
+ENTER, LEAVE, CONTROL, HIDDEN, BLANK = -4.5, -0.7, -15.0, -7.0, -9.0
+#: Where a garbled sequence may stand: anywhere; at a word's end only; anywhere, if the word has a longer one besides.
+ANYWHERE, AT_END, BESIDE = range(3)
+#: UTF-8 is what most text is written in.
+USUAL = 2.0
+#: Readings so far below the clean one still count in a text that another word shows to be garbled the same way.
+WEAKEST = ENTER
 LOST = "�"
 #: Read wrongly from UTF-8, and from one single-byte encoding as another (written, read).
 MULTI = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r")
@@ -70,26 +82,30 @@ def clean_form(c: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def states() -> list[tuple[str, dict[str, list[tuple[str, str]]]]]:
-    """(name, first character -> [(garbled, clean)], longest first) of every garbled state."""
+def states() -> list[tuple[str, dict[str, list[tuple[str, str, int]]]]]:
+    """(name, first character -> [(garbled, clean, where it may stand)], longest first) of every garbled state. One garbled
+    sequence may stand for several characters, where bytes were lost."""
     found = []
 
-    def add(name: str, pairs: list[tuple[str, str]]) -> None:
-        table: dict[str, dict[str, str]] = {}
+    def add(name: str, *pairs: list[tuple[str, str]]) -> None:
+        table: dict[str, dict[tuple[str, str, int], None]] = {}
         for form in (lambda x: x, str.lower, str.upper):  # as read, or its letter case changed later
-            for garbled, clean in pairs:
-                g = form(garbled)
-                if g and not g.isascii() and g != clean:
-                    table.setdefault(g[0], {}).setdefault(g, clean)
-        found.append((name, {k: sorted(v.items(), key=lambda p: -len(p[0])) for k, v in table.items()}))
+            for where, some in enumerate(pairs):
+                for garbled, clean in some:
+                    g = form(garbled)
+                    if g and not g.isascii() and g != clean:
+                        table.setdefault(g[0], {}).setdefault((g, clean, where))
+        found.append((name, {k: sorted(v, key=lambda p: -len(p[0])) for k, v in table.items()}))
 
     letters = alphabet()
     for wrong in MULTI:
-        pairs = [(read_as(c.encode(), wrong), clean_form(c)) for c in letters]
-        if wrong == "cp1252":  # also with undefined bytes dropped, with all bytes as in Latin-1, and with the second byte, a no-break space, lost
+        pairs, cut, short = [(read_as(c.encode(), wrong), clean_form(c)) for c in letters], [], []
+        if wrong == "cp1252":  # also with undefined bytes dropped, with all bytes as in Latin-1, and with a last byte, a no-break space, lost
             pairs += [(read_as(c.encode(), "latin-1"), clean_form(c)) for c in letters]
-            pairs += [("".join(x for x in g if not 0x80 <= ord(x) < 0xA0), c) for g, c in pairs if len(g) > 2 and any(0x80 <= ord(x) < 0xA0 for x in g)][: 1 << 10]
-        add(f"utf-8 as {wrong}", [(g, c) for g, c in pairs if len(g) > 1])
+            short = [("".join(x for x in g if not 0x80 <= ord(x) < 0xA0), c) for g, c in pairs if any(0x80 <= ord(x) < 0xA0 for x in g)]
+            pairs, short = pairs + [(g, c) for g, c in short if len(g) > 1], [(g, c) for g, c in short if len(g) == 1 and c.isalpha()]
+            cut = [(g[:-1], c) for g, c in pairs if len(g) == 2 and g[-1] == "\xa0" and c.isalpha()]
+        add(f"utf-8 as {wrong}", [(g, c) for g, c in pairs if len(g) > 1], cut, short)
     for wrong in ("cp1252", "latin-1"):
         twice = [(read_as(read_as(c.encode(), wrong).encode(), wrong), clean_form(c)) for c in letters]
         add(f"utf-8 as {wrong}, twice", twice)
@@ -109,6 +125,8 @@ def states() -> list[tuple[str, dict[str, list[tuple[str, str]]]]]:
     return found
 
 
+#: Ligatures that single-byte encodings hold.
+LIGATURES = {"\ufb01": "fi", "\ufb02": "fl"}
 SPACES = "\xa0\u2002\u2007\u2009\u202f\u3000\u2003\u2004\u2005\u2006\u2008\u200a\u205f\u1680"
 #: Letters of other scripts for which clean text is read as their Latin look-alikes, at a cost.
 ALIKE = dict(zip("АВЕКМНОРСТУХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXaeopcyxijsABEZHIKMNOPTYXo"))
@@ -116,10 +134,11 @@ ALIKE_BACK = dict(zip("ABEKMHOPCTYXaeopcyx", "АВЕКМНОРСТУХаеорс
 
 
 def visible(word: str) -> str:
-    """The word without what later changes may have put in: invisible characters, full-width forms, accents apart."""
+    """The word without what later changes may have put in: invisible characters, full-width forms, accents apart. The
+    ligatures that an encoding holds stay, for a pair may have made them of other letters."""
     word = word.translate(INVISIBLE)
     if any(0xFF01 <= ord(c) <= 0xFF5E or 0xFB00 <= ord(c) <= 0xFB06 or 0x300 <= ord(c) < 0x370 for c in word):
-        word = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFF5E or 0xFB00 <= ord(c) <= 0xFB06 else c for c in word)
+        word = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFF5E or 0xFB00 <= ord(c) <= 0xFB06 and c not in LIGATURES else c for c in word)
         word = unicodedata.normalize("NFC", word)
     letters = {c for c in word if c.isalpha()}
     foreign = {c for c in letters if c in ALIKE}
@@ -131,46 +150,48 @@ def visible(word: str) -> str:
 
 
 def folded(word: str) -> str:
-    return "=" + word.lower().strip(",.;:()")
+    return word.lower().strip(",.;:()")
+
+
+def places(gram: str) -> tuple[int, int]:
+    """Where the gram is counted in the two tables of its order."""
+    h = zlib.crc32(gram.encode("utf-8", "surrogatepass"))
+    return h & (BUCKETS - 1), BUCKETS + (h >> 14)
+
+
+def usable(word: str) -> list[tuple[str, dict]]:
+    """The garbled states that could have made some of the word's characters."""
+    return [(name, table) for name, table in states() if any(c in table and any(word.startswith(g, i) and (where != AT_END or i + len(g) == len(word)) for g, _, where in table[c]) for i, c in enumerate(word) if c > "\x7f")]
+
+
+def whole(word: str, table: dict) -> tuple[str, list[tuple[int, int, str]]]:
+    """(the word with every character read by one state, its spans); of several readings of a sequence the first."""
+    at, out, spans = 0, [], []
+    while at < len(word):
+        g, clean = next(((g, c) for g, c, where in table.get(word[at], ()) if word.startswith(g, at) and (where != AT_END or at + len(g) == len(word))), (word[at], word[at]))
+        if g != clean:
+            spans.append((at, at + len(g), clean))
+        out.append(clean)
+        at += len(g)
+    return "".join(out), spans
 
 
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+#: A reading of a word: how much likelier it is than the word as it stands, its state, and its spans (start, end, clean text).
+Reading = tuple[float, str, tuple[tuple[int, int, str], ...]]
 
 
 class Model:
-    """Character trigrams with back-off, from bucket counts of orders 1 to 3; two more tables count whole words."""
+    """Character trigrams with back-off, from hashed counts of orders 1 to 3."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts  # KINDS x BUCKETS
-        self.total = max(1.0, float(counts[0].sum()))
+        self.counts = counts  # ORDERS x (TABLES * BUCKETS)
+        self.total = max(1.0, float(counts[0].sum()) / TABLES)
+        self.words = self.count("^^")
         self.log_p = lru_cache(maxsize=1 << 18)(self._log_p)
-        self.label = lru_cache(maxsize=1 << 18)(self._label)
 
     def count(self, gram: str) -> float:
-        return float(self.counts[len(gram) - 1, bucket(gram)])
-
-    def frequency(self, word: str) -> float:
-        return float(min(self.counts[3, bucket(folded(word))], self.counts[4, bucket("=" + folded(word))]))
-
-    def likely(self, word: str) -> float:
-        padded = f"^^{word}$"
-        return sum(self.log_p(*padded[i : i + 3]) for i in range(len(word) + 1))
-
-    def whole_word(self, word: str, use: list) -> tuple[tuple[int, int, str, str], ...]:
-        """The spans of the one state that turns every garbled character of the word into a much more frequent word."""
-        best, spans = max(KNOWN - 1, VOCABULARY * self.frequency(word)), ()
-        for name, table in use:
-            at, out, found = 0, [], []
-            while at < len(word):
-                g, clean = next(((g, c) for g, c in table.get(word[at], ()) if word.startswith(g, at)), (word[at], word[at]))
-                if g != clean:
-                    found.append((at, at + len(g), clean, name))
-                out.append(clean)
-                at += len(g)
-            if found and (n := self.frequency("".join(out))) > best and self.likely("".join(out)) >= self.likely(word) - 1:
-                best, spans = n, tuple(found)
-        return spans
+        a, b = places(gram)
+        return float(min(self.counts[len(gram) - 1, a], self.counts[len(gram) - 1, b]))
 
     def _log_p(self, a: str, b: str, c: str) -> float:
         p1 = (self.count(c) + 0.02) / (self.total + 5000)
@@ -178,63 +199,94 @@ class Model:
         p3 = (self.count(a + b + c) + 2 * p2) / (self.count(a + b) + 2)
         return math.log(min(1.0, p3))
 
-    def clean_score(self, a: str, b: str, c: str) -> float:
+    def clean(self, a: str, b: str, c: str) -> tuple[float, str, str]:
+        """(score, the two characters before the next one) of a character as it stands."""
+        if c in LIGATURES:
+            f, second = LIGATURES[c]
+            return self.log_p(a, b, f) + self.log_p(b, f, second) - 2.0, f, second
         score = self.log_p(a, b, c)
+        if "\x80" <= c < "\xa0":
+            return min(score, CONTROL), b, c
+        if c == "\xad":
+            return max(score, HIDDEN), a, b
+        if c in SPACES:
+            return max(score, HIDDEN), "^", "^"
         other = ALIKE.get(c) or ALIKE_BACK.get(c)
         if other and score < -6:
             score = max(score, self.log_p(a, b, other) - 5)
-        elif c == "\xad" or c in SPACES:
-            score = max(score, -7.0)
-        return score
+        return score, b, c
 
-    def _label(self, word: str) -> tuple[tuple[int, int, str, str], ...]:
-        """(start, end, clean text, state) of the garbled spans of a word; digits are all 0."""
+    def path(self, word: str, table: dict | None, enter: float = ENTER) -> tuple[float, tuple[tuple[int, int, str], ...]]:
+        """(score, garbled spans) of the likeliest path through the clean state and the one of the table (Viterbi)."""
         n = len(word)
-        use = [(name, table) for name, table in states() if any(c in table and any(word.startswith(g, i) for g, _ in table[c]) for i, c in enumerate(word) if c > "\x7f")]
-        if spans := self.whole_word(word, use):
-            return spans
         # best[i][s]: score, the two clean characters before, back pointer; s = 0 is clean
-        best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
+        best: list[list[tuple | None]] = [[None, None] for _ in range(n + 1)]
         best[0][0] = (0.0, "^", "^", None)
 
         def put(at: int, state: int, score: float, a: str, b: str, back: tuple) -> None:
-            if state not in best[at] or score > best[at][state][0]:
+            if best[at][state] is None or score > best[at][state][0]:
                 best[at][state] = (score, a, b, back)
 
         for i in range(n):
             c = word[i]
-            for s, (score, a, b, _) in list(best[i].items()):
-                move = 0.0 if s == 0 else LEAVE
-                lost = c == LOST
-                after = (a, b) if c == "\xad" else ("^", "^") if c in SPACES else (b, c)
-                put(i + 1, 0, score + move + (-8.0 if lost else self.clean_score(a, b, c)), *after, (i, s, c))
+            for s in (0, 1):
+                if best[i][s] is None:
+                    continue
+                score, a, b, _ = best[i][s]
+                if c == LOST:
+                    put(i + 1, 0, score + s * LEAVE - 8.0, b, c, (i, s, c))
+                    continue
+                own, x, y = self.clean(a, b, c)
+                put(i + 1, 0, score + s * LEAVE + own, x, y, (i, s, c))
                 if s and c <= "\x7f":
-                    put(i + 1, s, score + self.log_p(a, b, c), b, c, (i, s, c))
-                if c > "\x7f" and not lost:
-                    for t, (_, table) in enumerate(use, 1):
-                        if c not in table:
+                    put(i + 1, 1, score + self.log_p(a, b, c), b, c, (i, s, c))
+                if table and c in table:
+                    move = 0.0 if s else enter
+                    for g, clean, where in table[c]:
+                        if not word.startswith(g, i) or (where == AT_END and i + len(g) < n):
                             continue
-                        move = 0.0 if s == t else ENTER if s == 0 else SWITCH
-                        for g, clean in table[c]:
-                            if word.startswith(g, i):
-                                if g in "\xa0\xad" and not clean.isalpha():
-                                    continue  # a space or hyphen put in is likelier than a sign
-                                if clean in ("", " "):
-                                    put(i + len(g), t, score + move - 3.0, a, b, (i, s, clean))
-                                else:
-                                    put(i + len(g), t, score + move + self.log_p(a, b, clean), b, clean, (i, s, clean))
-        for s, (score, a, b, back) in best[n].items():
-            best[n][s] = (score + self.log_p(a, b, "$"), a, b, back)
-        at, state = n, max(best[n], key=lambda s: best[n][s][0])
-        spans: list[tuple[int, int, str, str]] = []
+                        if g in "\xa0\xad" and not clean.isalpha():
+                            continue  # a space or hyphen put in is likelier than a sign
+                        if clean in ("", " "):
+                            put(i + len(g), 1, score + move + (BLANK if len(g) == 1 else -3.0), a, b, (i, s, clean))
+                        else:
+                            put(i + len(g), 1, score + move + self.log_p(a, b, clean), b, clean, (i, s, clean))
+        ends = [(f[0] + self.log_p(f[1], f[2], "$"), s) for s, f in enumerate(best[n]) if f is not None]
+        score, state = max(ends)
+        at, spans = n, []
         while at:
-            _, _, _, (before, previous, clean) = best[at][state]
+            before, previous, clean = best[at][state][3]
             if state and word[before:at] != clean:
-                spans.append((before, at, clean, use[state - 1][0]))
-            elif word[before] == LOST:
-                spans.append((before, at, LOST, "lost"))
+                spans.append((before, at, clean))
             at, state = before, previous
-        return tuple(reversed(spans))
+        return score, tuple(reversed(spans))
+
+    def readings(self, word: str, own: float, known: dict[str, float]) -> list[Reading]:
+        """Readings of a word (digits are all 0) by the states that could have made it, the likeliest first, down to WEAKEST.
+        own: how often the corpus holds the word; known: how often, in folded form, what it may stand for."""
+        plain, _ = self.path(word, None)
+        out: list[Reading] = []
+        for name, table in usable(word):
+            enter = ENTER + USUAL * name.startswith("utf-8")
+            score, spans = self.path(word, table, enter)
+            decoded, all_spans = whole(word, table)
+            times = known.get(folded(decoded), 0.0)
+            sure = all_spans and times >= KNOWN and times > VOCABULARY * own
+            if sure:
+                known_score = enter + max(self.path(decoded, None)[0], math.log(times / (self.words + times))) + LEXICON + 0.5 * math.log((times + 1) / (own + 1))
+                if known_score > score or not spans:
+                    score, spans = known_score, tuple(all_spans)
+            elif all(word[a:b].strip("\xa0\xad") == "" for a, b, _ in spans):
+                continue  # nothing but spaces or hyphens
+            if not spans:  # the likeliest path is clean, but the state may still be that of the text
+                if all(word[a:b].strip("\xa0\xad") == "" for a, b, _ in all_spans):
+                    continue
+                score, spans = enter + self.path(decoded, None)[0], tuple(all_spans)
+            if not sure and name.startswith("utf-8") and all(b - a == 1 and (word[a], c, AT_END) not in table[word[a]] for a, b, c in spans):
+                score = min(score, plain - 0.5)  # first bytes alone are no evidence, but may be read so in a text that has some
+            if spans and score - plain > WEAKEST:
+                out.append((score - plain, name, spans))
+        return sorted(out, key=lambda r: -r[0])
 
     def fill(self, word: str, at: int) -> str:
         """The letter that was lost at `at`, if the trigrams around it leave little doubt."""
@@ -248,28 +300,29 @@ class Model:
         share = 1 / sum(math.exp(max(-50.0, v - scores[top])) for v in scores.values())
         return top if share > 0.9 and scores[top] > -12 else LOST
 
-    def repair(self, text: str) -> tuple[str, bool]:
-        """(the text as it was written, whether it is a case)."""
-        if text.isascii():
-            return text, False
-        out, case = [], False
+    def repair(self, text: str, found: dict[int, list[Reading]]) -> str:
+        """The text as it was written; found: readings of its words by their place. All words are read by the state that
+        explains most; words for which it has no reading by their own best one, if that is likelier than the word."""
+        total: dict[str, float] = {}
+        for readings in found.values():
+            for gain, name, _ in readings:
+                total[name] = total.get(name, 0.0) + max(0.0, gain - ENTER)
+        proven = {name for readings in found.values() for gain, name, _ in readings[:1] if gain > 0}
+        first = max(proven, key=lambda n: total[n], default=None)
+        explains = {n: sum(any(r[1] == n for r in readings) for readings in found.values() if readings and readings[0][0] > 0) for n in total}
+        if explains:
+            most = max(explains.values())
+            first = max((n for n in total if explains[n] == most), key=lambda n: (total[n], n), default=first)
         words = text.split(" ")
-        for k, word in enumerate(words):
-            if word.isascii():
-                out.append(word)
+        for place, word in enumerate(words):
+            if LOST not in word and place not in found:
                 continue
-            seen = visible(word)
-            if seen[:1] in "ÃÂãâ" and len(seen) == 1 and k + 1 < len(words) and seen in "Ãã":
-                case = True  # the second half of a letter, a no-break space, became a space
-                out.append("à")
-                continue
-            spans = self.label("".join("0" if c.isdecimal() and c.isascii() else c for c in seen))
-            if not spans:
-                out.append(word)
+            seen, readings = visible(word), found.get(place, [])
+            use = next((r for r in readings if r[1] == first and r[0] > 0.8 * ENTER), None) or next((r for r in readings if r[0] > 0), None)
+            if use is None and LOST not in seen:
                 continue
-            case = True
             done, last = [], 0
-            for start, end, clean, _ in spans:
+            for start, end, clean in use[2] if use else ():
                 done += [seen[last:start], clean]
                 last = end
             fixed = "".join(done) + seen[last:]
@@ -279,95 +332,184 @@ class Model:
                 if letter == LOST:
                     break
                 fixed = fixed[:at] + letter + fixed[at + 1 :]
-            out.append(fixed)
-        return " ".join(out), case
+            words[place] = fixed
+        return " ".join(words)
 
 
 def strictly_garbled(word: str) -> bool:
     """Whether a word holds a letter that reads as UTF-8 decoded wrongly, by tables alone."""
     multi = [t for name, t in states() if name.startswith("utf-8")]
-    return LOST in word or any(c in t and any(len(g) > 1 and word.startswith(g, i) for g, _ in t[c]) for t in multi for i, c in enumerate(word) if c > "\x7f")
+    return LOST in word or any(c in t and any(len(g) > 1 and word.startswith(g, i) for g, _, _ in t[c]) for t in multi for i, c in enumerate(word) if c > "\x7f")
 
 
-def _gram_counts(model_counts: np.ndarray | None):
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
+NOT_ASCII = "[^\\x00-\\x7F]"
+KNOWN_WORDS = "word string, n long, own long, known array<struct<text:string,n:long>>"
+LABELS = "word string, gain double, readings array<struct<gain:double,state:string,spans:array<struct<start:int,stop:int,clean:string>>>>"
+_MODELS: dict[int, Model] = {}
 
+
+def model_of(counts: np.ndarray) -> Model:
+    """One model a worker and table of counts, so that what it knows is kept between batches."""
+    key = zlib.crc32(counts.tobytes())
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(counts)
+    return _MODELS[key]
+
+
+def _add(counts: np.ndarray, word: str, n: int) -> None:
+    padded = f"^^{word}$$"
+    for i in range(len(padded)):
+        for k in range(min(ORDERS, len(padded) - i)):
+            for at in places(padded[i : i + k + 1]):
+                counts[k, at] += n
+
+
+def _sums(counts: np.ndarray) -> pa.RecordBatch:
+    order, at = np.nonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(order.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[order, at])], names=["kind", "bucket", "n"])
+
+
+def _plain_grams(batches):
+    counts = np.zeros((ORDERS, TABLES * BUCKETS), np.int64)
+    for batch in batches:
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+            _add(counts, word, n)
+    yield _sums(counts)
+
+
+def _other_grams(model_counts: np.ndarray | None):
     def run(batches):
-        model = Model(model_counts) if model_counts is not None else None
-        counts = np.zeros((KINDS, BUCKETS), np.int64)
+        model = model_of(model_counts) if model_counts is not None else None
+        counts = np.zeros((ORDERS, TABLES * BUCKETS), np.int64)
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if not word.isascii():
-                    seen = visible(word)
-                    if LOST in seen or (model.label(seen) if model else strictly_garbled(seen)):
-                        continue
-                    word = seen
-                counts[3, bucket(folded(word))] += n
-                counts[4, bucket("=" + folded(word))] += n
-                padded = f"^^{word}$$"
-                for i in range(len(padded)):
-                    for k in range(min(3, len(padded) - i)):
-                        counts[k, bucket(padded[i : i + k + 1])] += n
-        kind, at = np.nonzero(counts)
-        if len(kind):
-            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[kind, at])], schema=schema)
+            for row in batch.to_pylist():
+                seen = visible(row["word"])
+                if LOST in seen or (best(model, row) > 0 if model else strictly_garbled(seen)):
+                    continue
+                _add(counts, "".join(LIGATURES.get(c, c) for c in seen), row["n"])
+        yield _sums(counts)
 
     return run
 
 
-def train(texts: DataFrame, column: str = "description", rounds: int = 2) -> Model:
-    """The trigram model of all texts. What reaches the driver are at most KINDS x BUCKETS sums."""
-    words = texts.select(F.explode(F.split(F.regexp_replace(column, "[0-9]", "0"), " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = materialise(words, "words")
-    counts = None
-    for _ in range(rounds):
-        sums = words.mapInArrow(_gram_counts(counts), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros((KINDS, BUCKETS), np.float64)
-        counts[sums["kind"].to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
-    return Model(counts if counts is not None else np.zeros((KINDS, BUCKETS)))
+def best(model: Model, row: dict) -> float:
+    found = model.readings(visible(row["word"]), row["own"], {k["text"]: k["n"] for k in row["known"]})
+    return found[0][0] if found else -math.inf
 
 
-_MODELS: dict[int, Model] = {}
+def _forms(batches):
+    """(word, n, form, own): the folded form of each word, and of all that a word beyond ASCII may stand for."""
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+            seen = visible(word)
+            forms = {folded(whole(seen, table)[0]): False for _, table in usable(seen)} | {folded(seen): True}
+            for form, own in forms.items():
+                for column, value in zip(out, (word, n, form, own)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["word", "n", "form", "own"])
 
 
-def model_of(counts: np.ndarray) -> Model:
-    """One model a worker and table of counts, so that what it knows about words is kept between batches."""
-    key = zlib.crc32(counts.tobytes())
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(counts)
-    return _MODELS[key]
+def _folded_words(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([folded(w) for w in batch.column("word").to_pylist()], pa.string()), batch.column("n")], names=["form", "n"])
+
+
+def _strict(batches):
+    for batch in batches:
+        yield batch.filter(pa.array([not strictly_garbled(visible(w)) for w in batch.column("word").to_pylist()], pa.bool_()))
+
+
+def words_of(texts: DataFrame, column: str = "description") -> DataFrame:
+    """(word, n) of all texts, digits as 0."""
+    return texts.select(F.explode(F.split(F.regexp_replace(column, "[0-9]", "0"), " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(texts: DataFrame, column: str = "description") -> tuple[np.ndarray, DataFrame]:
+    """(trigram counts, KNOWN_WORDS of every word beyond ASCII). What reaches the driver are at most ORDERS x TABLES x BUCKETS sums."""
+    words = materialise(words_of(texts, column), "words")
+    plain = spread(words.where(~F.col("word").rlike(NOT_ASCII)))
+    other = spread(words.where(F.col("word").rlike(NOT_ASCII)))
+    counted = plain.mapInArrow(_folded_words, "form string, n long").unionByName(other.mapInArrow(_strict, "word string, n long").mapInArrow(_folded_words, "form string, n long"))
+    counted = counted.groupBy("form").agg(F.sum("n").alias("times"))
+    forms = other.mapInArrow(_forms, "word string, n long, form string, own boolean").join(counted, "form", "left")
+    times = F.coalesce("times", F.lit(0))
+    known = forms.groupBy("word", "n").agg(F.max(F.when(F.col("own"), times)).alias("own"), F.collect_list(F.when(~F.col("own") & (times >= KNOWN), F.struct(F.col("form").alias("text"), times.alias("n")))).alias("known"))
+    known = spread(materialise(known.select("word", "n", "own", "known"), "known"))
+    kind = "kind int, bucket int, n long"
+
+    def gathered(rows: DataFrame) -> np.ndarray:
+        sums = rows.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros((ORDERS, TABLES * BUCKETS), np.float64)
+        counts[sums["kind"].to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
+        return counts
+
+    fixed = gathered(plain.mapInArrow(_plain_grams, kind))
+    first = fixed + gathered(known.mapInArrow(_other_grams(None), kind))
+    return fixed + gathered(known.mapInArrow(_other_grams(first), kind)), known
 
 
-def _repair_rows(counts: np.ndarray):
-    schema = pa.schema([("item_id", pa.int64()), ("restored", pa.string()), ("garbled", pa.bool_())])
+def _labels(counts: np.ndarray):
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("clean", pa.string())]))
+    schema = pa.schema([("word", pa.string()), ("gain", pa.float64()), ("readings", pa.list_(pa.struct([("gain", pa.float64()), ("state", pa.string()), ("spans", spans)])))])
 
     def run(batches):
         model = model_of(counts)
         for batch in batches:
-            texts = batch.column("description").dictionary_encode()
-            fixed = [model.repair(t) if t is not None else (None, False) for t in texts.dictionary.to_pylist()]
-            restored, case = pa.array([f[0] for f in fixed], pa.string()), pa.array([f[1] for f in fixed], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), restored.take(texts.indices), case.take(texts.indices).fill_null(False)], schema=schema)
+            out: tuple[list, ...] = ([], [], [])
+            for row in batch.to_pylist():
+                seen = visible(row["word"])
+                found = model.readings(seen, row["own"], {k["text"]: k["n"] for k in row["known"]})
+                if found or LOST in seen:
+                    out[0].append(row["word"])
+                    out[1].append(math.inf if LOST in seen else found[0][0])
+                    out[2].append([{"gain": g, "state": s, "spans": [{"start": a, "stop": b, "clean": c} for a, b, c in spans]} for g, s, spans in found])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return run
 
 
-NOT_ASCII = "[^\\x00-\\x7F]"
+def labelled_words(texts: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """(the model's counts, LABELS of the distinct words that could be garbled; they are if gain > 0)."""
+    counts, known = train(texts)
+    return counts, materialise(known.mapInArrow(_labels(counts), LABELS), "labels")
+
+
+def placed_words(items: DataFrame) -> DataFrame:
+    """(item_id, place, word) of the words beyond ASCII of every item."""
+    words = items.where(F.col("description").rlike(NOT_ASCII)).select("item_id", F.posexplode(F.split("description", " ")).alias("place", "word"))
+    return words.where(F.col("word").rlike(NOT_ASCII)).withColumn("word", F.regexp_replace("word", "[0-9]", "0"))
+
+
+def garbled_ids(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """item_id of the items that hold a garbled word. Labels are few words; if they are many, the join is by word."""
+    return placed_words(items).join(labels.where("gain > 0").select("word"), "word").select("item_id").distinct()
+
+
+def _repaired_rows(counts: np.ndarray):
+    def run(batches):
+        model = model_of(counts)
+        for batch in batches:
+            fixed = []
+            for text, hits in zip(batch.column("description").to_pylist(), batch.column("hits").to_pylist()):
+                found = {h["place"]: [(r["gain"], r["state"], tuple((s["start"], s["stop"], s["clean"]) for s in r["spans"])) for r in h["readings"]] for h in hits}
+                fixed.append(model.repair(text, found))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(fixed, pa.string())], names=["item_id", "fixed"])
+
+    return run
 
 
 def repaired(items: DataFrame) -> DataFrame:
-    """(item_id, restored, garbled) of every item; texts of ASCII alone are as they were."""
+    """(item_id, restored, garbled) of every item; texts without a garbled word are as they were."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "description")
-    counts = train(items).counts
-    other = F.coalesce(F.col("description").rlike(NOT_ASCII), F.lit(False))
-    plain = items.where(~other).select("item_id", F.col("description").alias("restored"), F.lit(False).alias("garbled"))
-    return plain.unionByName(items.where(other).mapInArrow(_repair_rows(counts), "item_id long, restored string, garbled boolean"))
+    counts, labels = labelled_words(items)
+    hits = placed_words(items).join(labels, "word").groupBy("item_id").agg(F.max("gain").alias("gain"), F.collect_list(F.struct("place", "readings")).alias("hits")).where("gain > 0")
+    fixed = items.join(hits, "item_id").select("item_id", "description", "hits").mapInArrow(_repaired_rows(counts), "item_id long, fixed string")
+    return items.join(fixed, "item_id", "left").select("item_id", F.coalesce("fixed", "description").alias("restored"), F.col("fixed").isNotNull().alias("garbled"))
 
 
 def garbled_items(items: DataFrame) -> DataFrame:
     """item_id of every item whose description, wholly or in part, was decoded wrongly."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "description")
-    counts = train(items).counts
-    rows = items.where(F.col("description").rlike(NOT_ASCII)).mapInArrow(_repair_rows(counts), "item_id long, restored string, garbled boolean")
-    return rows.where("garbled").select("item_id")
+    return garbled_ids(items, labelled_words(items)[1])
