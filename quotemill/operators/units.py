@@ -209,10 +209,13 @@ def with_feed(rows: DataFrame, summary: DataFrame, feeds: DataFrame) -> DataFram
 
 
 def factors(money_units: DataFrame) -> tuple[dict[str, float], list[float]]:
-    """(dollars in each currency, pieces of each basis) of the table of units, which has some rows at every scale."""
-    rows = money_units.limit(1000).collect()
+    """(dollars in each currency, pieces of each basis) of the table of units, a row for each unit there is. A currency
+    without a factor has no value; only the parts of the dollar itself are known without the table."""
+    if (n := money_units.count()) > MOST_UNITS:
+        raise ValueError(f"{n} units of money; more than {MOST_UNITS} are no table of units")
+    rows = [r for r in money_units.collect() if r["unit_code"] and r["factor"]]
     currency = {r["unit_code"]: r["factor"] for r in rows if r["unit_kind"] == "currency"}
-    return {"USD": 1.0, "USC": 0.01, "EUR": 1.08, "KUSD": 1000.0} | currency, sorted({r["factor"] for r in rows if r["unit_kind"] == "basis"} | {1.0, 2.0, 12.0, 100.0, 1000.0})
+    return {"USD": 1.0, "USC": 0.01, "KUSD": 1000.0} | currency, sorted({r["factor"] for r in rows if r["unit_kind"] == "basis"} | {1.0, 2.0, 12.0, 100.0, 1000.0})
 
 
 def in_dollars(prefix: str, worth: dict[str, float]) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring, units
-from quotemill.runtime import shared_dir, spread
+from quotemill.runtime import own_path, spread
 from quotemill.streaming import ingest
 
 
@@ -542,7 +540,7 @@ def _(s, d):
 )
 def _(s, d):
     # the whole table, laid down in the shared folder, as a stream; complete mode, for the last windows are still open
-    where = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    where = own_path(s, "stream")
     arrivals = table(s, d, "documents").select("received_at", "source")
     arrivals.write.parquet(f"{where}/in")
     stream = ingest.arriving(s, f"{where}/in", arrivals.schema)

@@ -15,21 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor can reach.
 
-    Only where the setting is absent (tests, a laptop) a folder of this machine is used.
+    On a cluster the setting must be there. In one process (local mode: tests, a laptop) a folder of this machine is set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share; it is not set")
         where = tempfile.mkdtemp(prefix="quotemill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}.parquet"
+    path = own_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
