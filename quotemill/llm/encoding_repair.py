@@ -41,6 +41,8 @@ VOCABULARY, KNOWN, LEXICON = 8, 5, 5.5
 ENTER, LEAVE, CONTROL, HIDDEN, BLANK = -4.5, -0.7, -15.0, -7.0, -9.0
 #: Where a garbled sequence may stand: anywhere; at a word's end only; anywhere, if the word has a longer one besides.
 ANYWHERE, AT_END, BESIDE = range(3)
+#: Trigrams with capitals count like those in small letters, at a cost.
+CAPITAL = -2.0
 #: UTF-8 is what most text is written in.
 USUAL = 2.0
 #: Readings so far below the clean one still count in a text that another word shows to be garbled the same way.
@@ -144,7 +146,7 @@ def visible(word: str) -> str:
     foreign = {c for c in letters if c in ALIKE}
     if foreign and foreign != letters and all(c in ALIKE or c < "\u0250" for c in letters) and not any(c in word for c in "°±№‚„…‹›"):
         word = word.translate({ord(k): v for k, v in ALIKE.items()})  # look-alikes put into a Latin word
-    elif any("\u0400" <= c < "\u0460" and c not in ALIKE for c in letters):
+    elif any("\u0400" <= c < "\u0460" and c not in ALIKE for c in letters) and all(c in ALIKE_BACK or c >= "\u0370" for c in letters):
         word = word.translate({ord(k): v for k, v in ALIKE_BACK.items()})
     return word
 
@@ -197,7 +199,8 @@ class Model:
         p1 = (self.count(c) + 0.02) / (self.total + 5000)
         p2 = (self.count(b + c) + 2 * p1) / (self.count(b) + 2)
         p3 = (self.count(a + b + c) + 2 * p2) / (self.count(a + b) + 2)
-        return math.log(min(1.0, p3))
+        score, low = math.log(min(1.0, p3)), (a + b + c).lower()
+        return score if low == a + b + c or len(low) != 3 else max(score, self.log_p(*low) + CAPITAL)
 
     def clean(self, a: str, b: str, c: str) -> tuple[float, str, str]:
         """(score, the two characters before the next one) of a character as it stands."""
