@@ -6,8 +6,8 @@ import re
 
 NUMBER = r"\d+-\d+/\d+|\d+/\d+|\d+(?:\.\d+)?"
 UNIT = r"(?:mm|cm|\"|″|''|[a-z]{2,6}\b)"
-#: Letters of units, in order, so that a unit with swapped letters is known too.
-UNITS = {"mm": 1.0, "cm": 10.0, '"': 25.4, "″": 25.4, "''": 25.4, "in": 25.4, "chin": 25.4, "cehins": 25.4}
+#: Units of length in millimetres.
+UNITS = {"mm": 1.0, "cm": 10.0, '"': 25.4, "″": 25.4, "''": 25.4, "in": 25.4, "inch": 25.4, "inches": 25.4}
 TRIPLE = re.compile(rf"(?<![\w.])({NUMBER})\s*({UNIT})?\s*[x×*]\s*({NUMBER})\s*({UNIT})?\s*[x×*]\s*({NUMBER})\s*({UNIT})?", re.I)
 LABELLED = re.compile(rf"\b([lwhd])\s*=?\s*({NUMBER})\s*({UNIT})?", re.I)
 CODE = re.compile(r"(?:\b(?:art\.?|ref\.?|no\.?|item|sku|mpn)\s*:?\s*)?\b([a-z]{2})[- ]?(\d{6,9})([a-z])?\b", re.I)
@@ -22,8 +22,17 @@ def value(number: str) -> float:
     return float(number)
 
 
+def slips(word: str) -> set[str]:
+    """The word with two neighbouring letters swapped, or one letter lost."""
+    return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+#: Units of four letters or more are known with one slip, too.
+SLIPS = {slip: size for word, size in UNITS.items() if len(word) >= 4 for slip in slips(word)}
+
+
 def unit(text: str | None) -> float | None:
-    return None if not text else UNITS.get("".join(sorted(text.lower())))
+    return None if not text else UNITS.get(text.lower()) or SLIPS.get(text.lower())
 
 
 def take_apart(text: str) -> tuple[list[float], str, list[str]]:

@@ -1,18 +1,24 @@
 """Listings of the same product brought together.
 
-A title encoder sums one vector for each subword feature of a listing (the letters of a word in order, so
-that swapped letters are no other word; a word with its short or numeric neighbour). It is trained by
-contrast: listings with the same article code are pulled together, which takes marketing words to nought
-and synonyms onto each other; listings of equal dimensions with different codes are pushed apart.
+A title encoder sums the vectors of a listing's words, and of short or numeric words with their neighbour.
+A word's vector is the mean over its subwords, which are the word itself and its character trigrams (the
+letters of each in order of the alphabet, so that swapped letters change few), so that a misspelt word is
+near the right one. The encoder is trained by contrast: listings with the same
+article code are pulled together, which takes marketing words to nought and synonyms onto each other;
+listings of equal dimensions with different codes are pushed apart.
 
 Vectors are kept in an inverted file: each goes to the nearest of the centroids, and looks into as many
 cells as a check against exact neighbours asks for. Candidates within the radius pass the vetoes of
-numeric variants (dimensions, article codes); listings that are each other's neighbours form a group.
+numeric variants: other dimensions, other article codes. Of them a listing's neighbours are those hardly
+farther than its nearest; two listings that are each other's neighbours are of one product.
 
-Bounds: encoder and centroids are fitted on at most SAMPLE listings (those of the lowest hashes); every
-listing is indexed and searched. Equal descriptions are one listing until the end.
+Bounds: encoder, centroids and probes are fitted on at most SAMPLE listings with a code and a quarter as
+many without (those of the lowest hashes); every listing is indexed and searched. A cell and size with
+more than HOT listings is searched in blocks, each pair of blocks a task of its own.
 
-Defined results: null and empty descriptions, and those without three dimensions, match nothing.
+Equal descriptions, letter case apart, are one listing until the end.
+Defined results: null and empty descriptions match nothing. Listings without three dimensions match each
+other only, and only with the same numbers in their text.
 """
 
 from __future__ import annotations
@@ -27,96 +33,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.listing_text import take_apart
-from quotemill.runtime import materialise
+from quotemill.runtime import materialise, spread
 
 SAMPLE = 40_000
-WORDS, FEATURES, WIDTH = 1 << 13, 1 << 14, 48  # the places of single words come first, then those of two together
-OFTEN = 20  # two words together say something of their own if they stand in so many listings of the sample
+SUBWORDS, PLACES, WIDTH = 1 << 14, 1 << 15, 48  # the places of subwords come first, then those of two words together
+OFTEN = 20  # a subword, or two words together, says something of its own if it stands in so many listings of the sample
 TOLERANCE = 0.05  # mm
 GRID = 0.5  # mm, of the sum of dimensions
-RADIUS = 0.9  # between pairs of one code (99 % under 0.2) and pairs of equal size with other codes (none under 1.5)
+NO_SIZE = -1  # the bucket of listings without three dimensions
+RADIUS = 1.1  # between pairs of one code (99.9 % under 0.11) and pairs of equal size with other codes (none under 1.49)
+FARTHER = 1.0  # a neighbour may be so much farther than the nearest one
 RECALL = 0.99
 CELL_ROWS = 2000
 TILE = 1 << 16
 SHARD_ROWS = 20_000
+HOT = 20_000
 
 
 def place(feature: str, two: bool = False) -> int:
-    return zlib.crc32(feature.encode()) % WORDS + two * WORDS
+    return zlib.crc32(feature.encode()) % SUBWORDS + two * SUBWORDS
 
 
 @lru_cache(maxsize=1 << 16)
-def word_key(word: str) -> str:
-    return "".join(sorted(word))
+def subwords(unit: str) -> tuple[int, ...]:
+    """Places of a word's subwords, the word itself first; numbers, short words and pairs of words have themselves alone."""
+    if "_" in unit:
+        return (place(unit, True),)
+    if len(unit) <= 3 or any(c.isdigit() for c in unit):
+        return (place(unit),)
+    edged = f"<{unit}>"
+    return tuple(dict.fromkeys([place(unit), *(place("".join(sorted(edged[i : i + 3]))) for i in range(len(edged) - 2))]))
+
+
+def units(words: list[str]) -> list[str]:
+    """The words of a listing, and short or numeric ones with their neighbour. A word that stands twice counts once."""
+    found = dict.fromkeys(words)
+    for a, b in zip(words, words[1:]):
+        if len(a) <= 2 or len(b) <= 2 or a[0].isdigit() or b[0].isdigit():
+            found[f"{a}_{b}"] = None
+    return list(found)
 
 
-def features(words: list[str]) -> list[int]:
-    """Places of the features of a listing: each word's letters, and short or numeric words with their neighbour.
-    A word that stands twice counts once."""
-    keys = [word_key(w) for w in words]
-    found = {place(k) for k in keys}
-    for a, b, ka, kb in zip(words, words[1:], keys, keys[1:]):
-        if len(a) <= 2 or len(b) <= 2 or a[0].isdigit() or b[0].isdigit():
-            found.add(place(f"{ka}_{kb}", True))
-    return sorted(found)
+class Encoder:
+    """Vectors of titles. A subword counts if the sample held it often; of a word of which few do, the word itself does,
+    untrained, so that unknown words stay apart. Pairs of words that the sample held seldom count nothing."""
 
+    def __init__(self, vectors: np.ndarray, known: np.ndarray) -> None:
+        self.vectors, self.known = vectors, known
+        self.word: dict[str, np.ndarray] = {}
 
-def sums(rows: list[list[int]], vectors: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), vectors.shape[1]), np.float32)
-    if rows:
-        lengths = np.array([len(r) for r in rows])
-        flat = np.array([f for r in rows for f in r], np.int64)
-        np.add.at(out, np.repeat(np.arange(len(rows)), lengths), vectors[flat])
-    return out
+    def counted(self, unit: str) -> list[int]:
+        own = subwords(unit)
+        some = [p for p in own if self.known[p]]
+        return some if 5 * len(some) >= 2 * len(own) else [] if "_" in unit else [own[0]]
+
+    def of_unit(self, unit: str) -> np.ndarray:
+        if unit not in self.word:
+            if len(self.word) > 1 << 18:
+                self.word.clear()
+            at = self.counted(unit)
+            self.word[unit] = self.vectors[at].mean(0) if at else np.zeros(self.vectors.shape[1], np.float32)
+        return self.word[unit]
 
+    def encode(self, rows: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(rows), self.vectors.shape[1]), np.float32)
+        for i, row in enumerate(rows):
+            for unit in row:
+                out[i] += self.of_unit(unit)
+        return out
 
-def train(rows: list[list[int]], codes: np.ndarray, sizes: np.ndarray, seed: int = 7, epochs: int = 12) -> np.ndarray:
-    """Vectors of all features, from listings with article codes and dimensions."""
+
+def train(rows: list[list[str]], codes: np.ndarray, sizes: np.ndarray, seed: int = 7, epochs: int = 12) -> Encoder:
+    """The encoder, from the units, article codes and dimensions of listings."""
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.25, (FEATURES, WIDTH)).astype(np.float32)
-    seen = np.bincount([f for r in rows for f in r], minlength=FEATURES)
-    vectors[WORDS:][seen[WORDS:] < OFTEN] = 0
+    vectors = rng.normal(0, 0.25, (PLACES, WIDTH)).astype(np.float32)
+    seen = np.zeros(PLACES, np.int64)
+    for row in rows:
+        seen[list({p for u in row for p in subwords(u)})] += 1
+    encoder = Encoder(vectors, seen >= OFTEN)
     if len(rows) < 2:
-        return vectors
-    fixed = np.arange(FEATURES) >= WORDS
-    fixed &= seen < OFTEN
-    count = np.array([len(r) for r in rows])
-    start, flat = np.cumsum(count) - count, np.array([f for r in rows for f in r], np.int64)
+        return encoder
+    vocabulary = {u: k for k, u in enumerate(dict.fromkeys(u for row in rows for u in row))}
+    count = np.array([len(row) for row in rows])
+    start, flat = np.cumsum(count) - count, np.array([vocabulary[u] for row in rows for u in row], np.int64)
+    spelt = [encoder.counted(u) for u in vocabulary]
+    pieces = np.array([len(s) for s in spelt])
+    first, places = np.cumsum(pieces) - pieces, np.array([p for s in spelt for p in s], np.int64)
+    open_place = encoder.known
     _, code = np.unique(codes, return_inverse=True)
     _, size = np.unique(np.round(sizes, 0), axis=0, return_inverse=True)
     pulled = neighbours_in_order(code, 4)
     pushed = neighbours_in_order(size.ravel(), 12)
     pushed = pushed[code[pushed[:, 0]] != code[pushed[:, 1]]]
-    step = np.full((FEATURES, 1), 1e-2, np.float32)
-    for epoch in range(epochs):
+    step = np.full((PLACES, 1), 1e-2, np.float32)
+    for _ in range(epochs):
         other = rng.permutation(len(rows))[: len(pulled) // 2]
         loose = np.stack([other, rng.integers(0, len(rows), len(other))], 1)
         apart = np.concatenate([pushed, loose[code[loose[:, 0]] != code[loose[:, 1]]]])
         pairs = np.concatenate([pulled, apart])
         same = np.concatenate([np.ones(len(pulled), bool), np.zeros(len(apart), bool)])
         for batch in np.array_split(rng.permutation(len(pairs)), max(1, len(pairs) // 512)):
-            at, feature, sign = [], [], []
+            at, unit, sign = [], [], []
             for side, value in ((0, 1.0), (1, -1.0)):
-                r, f = flattened(flat, start, count, pairs[batch, side])
+                r, u = flattened(flat, start, count, pairs[batch, side])
                 at.append(r)
-                feature.append(f)
+                unit.append(u)
                 sign.append(np.full(len(r), value, np.float32))
-            at, feature, sign = np.concatenate(at), np.concatenate(feature), np.concatenate(sign)
-            open_ = ~fixed[feature]
-            used, column = np.unique(feature[open_], return_inverse=True)
+            at, unit, sign = np.concatenate(at), np.concatenate(unit), np.concatenate(sign)
+            used, column = np.unique(unit, return_inverse=True)
             part = np.zeros((len(batch), len(used)), np.float32)
-            np.add.at(part, (at[open_], column), sign[open_])
-            gap = part @ vectors[used]
+            np.add.at(part, (at, column), sign)
+            # units that stand in both listings say nothing about the pair
+            row, piece = flattened(places, first, pieces, used)
+            share = (1 / np.maximum(pieces[used], 1)).astype(np.float32)
+            words = np.zeros((len(used), WIDTH), np.float32)
+            np.add.at(words, row, vectors[piece])
+            words *= share[:, None]
+            gap = part @ words
             square = (gap * gap).sum(1)
             pull = np.where(same[batch], 1.0, np.where(square < 1.5, -1.0, 0.0)).astype(np.float32)
-            slope = part.T @ (gap * pull[:, None])
-            step[used] += (slope * slope).mean(1, keepdims=True)
-            vectors[used] -= 0.2 * slope / np.sqrt(step[used])
-    return vectors
+            slope = (part.T @ (gap * pull[:, None])) * share[:, None]
+            own, back = np.unique(piece, return_inverse=True)
+            total = np.zeros((len(own), WIDTH), np.float32)
+            np.add.at(total, back, slope[row])
+            total *= open_place[own, None]
+            step[own] += (total * total).mean(1, keepdims=True)
+            vectors[own] -= 0.2 * total / np.sqrt(step[own])
+    return encoder
 
 
 def flattened(flat: np.ndarray, start: np.ndarray, count: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in which, feature) of all features of the rows `which`."""
+    """(place in which, value) of all values of the rows `which`."""
     n = count[which]
     at = np.repeat(np.arange(len(which)), n)
     return at, flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -162,9 +209,8 @@ def cells_of(points: np.ndarray, middle: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS, codes: np.ndarray | None = None) -> int:
-    """The fewest probes, up to all cells, with which at least RECALL of the exact neighbours within the radius are found.
-    Pairs of one code are left out, for they are found without probes; a code is empty where there is none."""
+def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS) -> int:
+    """The fewest probes, up to all cells, with which at least RECALL of the exact neighbours within the radius are found."""
     index = cells_of(points, middle, 1)[:, 0]
     asked = np.arange(0, len(points), 50)
     square = (points * points).sum(1)
@@ -173,8 +219,6 @@ def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS,
         some = asked[a : a + 256]
         near = square[some, None] + square - 2 * points[some] @ points.T <= radius
         near[np.arange(len(some)), some] = False
-        if codes is not None:
-            near &= (codes[some, None] != codes) | (codes[some, None] == "")
         q, hit = np.nonzero(near)
         want.append(np.stack([some[q], hit], 1))
     want = np.concatenate(want) if want else np.empty((0, 2), np.int64)
@@ -189,107 +233,138 @@ def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS,
     return int(np.argmax(found >= RECALL)) + 1
 
 
-def parsed(texts: list[str | None]) -> list[tuple[list[float], str, list[int]]]:
-    return [([], "", []) if not t else (lambda s, c, w: (s, c, features(w)))(*take_apart(t)) for t in texts]
+def parsed(texts: list[str | None]) -> list[tuple[list[float], str, list[str]]]:
+    return [([], "", []) if not t else (lambda s, c, w: (s, c, units(w)))(*take_apart(t)) for t in texts]
+
 
+CODE = r"\b([A-Za-z]{2}[- ]?[0-9]{6,9})[A-Za-z]?\b"
 
-def fit(listings: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(feature vectors, centroids, probes, listings) of a table, from its sample of at most SAMPLE listings."""
+
+def fit(listings: DataFrame) -> tuple[Encoder, np.ndarray, int, int]:
+    """(encoder, centroids, probes, listings) of a table, from its sample of at most SAMPLE listings with a code and a
+    quarter as many without. Cells grow with the table; probes are tuned with and without those that hold a code."""
     total = listings.count()
-    keyed = listings.where(F.length("description") > 0).select("description", F.xxhash64(F.upper(F.regexp_replace(F.regexp_extract("description", r"\b([A-Za-z]{2}[- ]?[0-9]{6,9})[A-Za-z]?\b", 1), "[- ]", ""))).alias("h"), F.col("description").rlike(r"\b[A-Za-z]{2}[- ]?[0-9]{6,9}").alias("coded"))
+    code = F.upper(F.regexp_replace(F.regexp_extract("description", CODE, 1), "[- ]", ""))
+    keyed = listings.where(F.length("description") > 0).select("description", F.xxhash64(code).alias("h"), (code != "").alias("coded"))
     coded = keyed.where("coded").orderBy("h", "description").limit(SAMPLE).select("description").toPandas()["description"].tolist()
     plain = keyed.where(~F.col("coded")).orderBy(F.xxhash64("description"), "description").limit(SAMPLE // 4).select("description").toPandas()["description"].tolist()
     rows = [r for r in parsed(coded) if r[0] and r[1]]
-    vectors = train([r[2] for r in rows], np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
+    encoder = train([r[2] for r in rows], np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
     sample = [*rows, *(r for r in parsed(plain) if r[0])]
-    points = sums([r[2] for r in sample], vectors)
-    middle = centroids(points, max(1, min(total // CELL_ROWS, len(points) // 20, 4096)))
-    mixed = np.random.default_rng(0).permutation(len(points))[:20_000]  # listings with and without a code
-    probes = tuned_probes(points[mixed], middle, codes=np.array([r[1] for r in sample], dtype=str)[mixed])
-    return vectors, middle, max(probes, tuned_probes(points[:20_000], middle)), total  # the target holds with and without pairs of one code
+    points = encoder.encode([r[2] for r in sample])
+    middle = centroids(points, max(1, min(total // CELL_ROWS, len(points) // 20)))
+    without = points[len(rows) :]
+    return encoder, middle, max(tuned_probes(p, middle) for p in (points, without)), total
 
 
-ENTRY = "cell int, bucket long, home boolean, text_id long, code string, sizes binary, vector binary"
+ENTRY = "cell int, bucket long, home boolean, text_id long, code string, numbers string, sizes binary, vector binary"
 
 
-def _index_rows(vectors: np.ndarray, middle: np.ndarray, probes: int):
-    schema = pa.schema([("cell", pa.int32()), ("bucket", pa.int64()), ("home", pa.bool_()), ("text_id", pa.int64()), ("code", pa.string()), ("sizes", pa.binary()), ("vector", pa.binary())])
+def _index_rows(encoder: Encoder, middle: np.ndarray, probes: int):
+    schema = pa.schema([("cell", pa.int32()), ("bucket", pa.int64()), ("home", pa.bool_()), ("text_id", pa.int64()), ("code", pa.string()), ("numbers", pa.string()), ("sizes", pa.binary()), ("vector", pa.binary())])
 
     def run(batches):
+        own = Encoder(encoder.vectors, encoder.known)
         for batch in batches:
             rows = parsed(batch.column("description").to_pylist())
-            keep = [i for i, r in enumerate(rows) if r[0]]
-            if not keep:
+            if not rows:
                 continue
-            ids = batch.column("text_id").to_numpy()[keep]
-            sizes = np.array([rows[i][0] for i in keep])
-            points = sums([rows[i][2] for i in keep], vectors)
+            ids = batch.column("text_id").to_numpy()
+            sizes = np.array([r[0] or [0.0] * 3 for r in rows])
+            sized = np.array([bool(r[0]) for r in rows])
+            points = own.encode([r[2] for r in rows])
             cells = cells_of(points, middle, probes)
             total, slack = sizes.sum(1) / GRID, 3 * TOLERANCE / GRID
-            low, high = np.floor(total - slack).astype(np.int64), np.floor(total + slack).astype(np.int64)
+            low, high = (np.where(sized, np.floor(x), NO_SIZE).astype(np.int64) for x in (total - slack, total + slack))
             n, p = cells.shape
             row, rank = np.repeat(np.arange(n), p), np.tile(np.arange(p), n)
             twice = np.flatnonzero(low[row] != high[row])
             row, rank, bucket = np.concatenate([row, row[twice]]), np.concatenate([rank, rank[twice]]), np.concatenate([low[row], high[row[twice]]])
-            code = pa.array([rows[i][1] for i in keep], pa.string())
-            packed = [pa.array([v.tobytes() for v in values], pa.binary()) for values in (sizes, points)]
-            cell, home = cells[row, rank], rank == 0
-            coded = np.array([k for k, i in enumerate(keep) if rows[i][1]], np.int64)  # one code meets in a block of its own, too
-            row = np.concatenate([row, coded])
-            cell, home = np.concatenate([cell, np.full(len(coded), -1, np.int32)]), np.concatenate([home, np.ones(len(coded), bool)])
-            bucket = np.concatenate([bucket, np.array([zlib.crc32(rows[keep[k]][1].encode()) for k in coded.tolist()], np.int64)])
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(bucket), pa.array(home), pa.array(ids[row]), code.take(take), *(v.take(take) for v in packed)], schema=schema)
+            numbers = [" ".join(sorted(u for u in r[2] if u[0].isdigit() and "_" not in u)) if not r[0] else "" for r in rows]
+            texts = [pa.array(v, pa.string()).take(take) for v in ([r[1] for r in rows], numbers)]
+            packed = [pa.array([v.tobytes() for v in values], pa.binary()).take(take) for values in (sizes, points)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[row, rank]), pa.array(bucket), pa.array(rank == 0), pa.array(ids[row]), *texts, *packed], schema=schema)
 
     return run
 
 
 def _shard_pairs(radius: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float32())])
 
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        ids, cell, bucket = (table.column(c).to_numpy() for c in ("text_id", "cell", "bucket"))
+        ids, cell, bucket, block, pair = (table.column(c).to_numpy() for c in ("text_id", "cell", "bucket", "block", "pair"))
         home = table.column("home").to_numpy(zero_copy_only=False)
         sizes = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.float64).reshape(n, 3)
         points = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float32).reshape(n, -1)
-        codes = table.column("code").to_pandas()
-        blank, codes = (codes == "").to_numpy(), pd.factorize(codes)[0]
-        order = np.lexsort((sizes[:, 0], bucket, cell))
+        codes, numbers = (pd.factorize(table.column(c).to_pandas()) for c in ("code", "numbers"))
+        blank = (table.column("code").to_pandas() == "").to_numpy()
+        codes, numbers = codes[0], numbers[0]
+        # sizes fit if all three lie within the tolerance: in order of the first, then within runs of the second
+        order = np.lexsort((sizes[:, 0], bucket, pair, cell))
         square = (points * points).sum(1)
-        out, left, k = [np.empty((0, 2), np.int64)], np.arange(n - 1), 1
+        out, left, k = [], np.arange(n - 1), 1
         while len(left):  # sizes are in order: once a later entry is too long, all behind it are
             left = left[left + k < n]
             i, j = order[left], order[left + k]
-            go = (cell[i] == cell[j]) & (bucket[i] == bucket[j]) & (sizes[j, 0] - sizes[i, 0] <= TOLERANCE)
+            go = (cell[i] == cell[j]) & (pair[i] == pair[j]) & (bucket[i] == bucket[j]) & (sizes[j, 0] - sizes[i, 0] <= TOLERANCE)
             left, i, j = left[go], i[go], j[go]
-            fits = (np.abs(sizes[i] - sizes[j]).max(1) <= TOLERANCE) & (home[i] | home[j]) & (ids[i] != ids[j])
+            fits = (np.abs(sizes[i] - sizes[j]).max(1) <= TOLERANCE) & (home[i] | home[j]) & (ids[i] != ids[j]) & (numbers[i] == numbers[j])
+            fits &= (codes[i] == codes[j]) | blank[i] | blank[j]  # another code is another product
+            fits &= (block[i] != block[j]) | (pair[i] == block[i])  # a block by itself is searched in one place
             i, j = i[fits], j[fits]
             for a in range(0, len(i), TILE):
                 q, h = i[a : a + TILE], j[a : a + TILE]
                 distance = square[q] + square[h] - 2 * np.einsum("ij,ij->i", points[q], points[h])
-                same = np.where(~blank[q] & ~blank[h], codes[q] == codes[h], distance <= radius)
-                out.append(np.stack([np.minimum(ids[q[same]], ids[h[same]]), np.maximum(ids[q[same]], ids[h[same]])], 1))
+                near = distance <= radius
+                q, h = ids[q[near]], ids[h[near]]
+                out.append((np.minimum(q, h), np.maximum(q, h), np.maximum(distance[near], 0).astype(np.float32)))
             k += 1
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        if not out:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
     return run
 
 
-def same_product(listings: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """(listing_id_a, listing_id_b), a < b, of every two listings of one product."""
+def blocked(entries: DataFrame, hot: int) -> DataFrame:
+    """entries with block and pair: those of a (cell, bucket) with more than `hot` of them fall into blocks, and every two
+    blocks meet under a pair of their own; the others are one block, 0. Nothing is dropped."""
+    many = entries.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    many = many.select(F.col("cell").alias("c"), F.col("bucket").alias("b"), F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    e = entries.join(many, (F.col("cell") == F.col("c")) & (F.col("bucket") == F.col("b")), "left").drop("c", "b").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    e = e.withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+    # the pair of blocks x <= y is x + y * blocks, but a block with itself is x
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    e = e.withColumn("other", other)
+    pair = F.when(F.col("other") == F.col("block"), F.col("block")).otherwise(F.least("block", "other") + F.greatest("block", "other") * F.col("blocks"))
+    return e.withColumn("pair", pair.cast("int")).drop("blocks", "other")
+
+
+def product_links(listings: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links(a, b) of two different texts that are each other's neighbours, and members(text_id,
+    listing_id, n) of all texts, n listings each."""
     listings = listings.select(F.col("listing_id").cast("long").alias("listing_id"), "description").where(F.length("description") > 0)
-    vectors, middle, probes, total = fit(listings)
-    owned = materialise(listings.select("listing_id", "description", F.xxhash64(F.lower("description")).alias("h")), "listings")
-    texts = owned.groupBy("h").agg(F.min("listing_id").alias("text_id"), F.first("description").alias("description"), F.count(F.lit(1)).alias("n"))
-    texts = materialise(texts, "texts")
+    encoder, middle, probes, total = fit(listings)
+    owned = materialise(listings.select("listing_id", F.lower("description").alias("low"), "description"), "listings")
+    texts = materialise(owned.groupBy("low").agg(F.min("listing_id").alias("text_id"), F.count(F.lit(1)).alias("n")), "texts")
     shards = max(int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD_ROWS)
-    entries = texts.mapInArrow(_index_rows(vectors, middle, probes), ENTRY).withColumn("shard", F.pmod(F.xxhash64("cell", "bucket"), F.lit(shards)))
-    pairs = entries.groupBy("shard").applyInArrow(_shard_pairs(radius), "a long, b long").distinct()
-    members = owned.join(texts.select("h", "text_id", "n"), "h").select("listing_id", "text_id", "n")
+    indexed = spread(texts.select("text_id", F.col("low").alias("description"))).mapInArrow(_index_rows(encoder, middle, probes), ENTRY)
+    entries = blocked(materialise(indexed, "entries"), HOT).withColumn("shard", F.pmod(F.xxhash64("cell", "bucket", "pair"), F.lit(shards)))
+    near = entries.groupBy("shard").applyInArrow(_shard_pairs(radius), "a long, b long, distance float")
+    near = materialise(near.groupBy("a", "b").agg(F.min("distance").alias("distance")), "near")
+    ends = near.select(F.col("a").alias("t"), "distance").unionByName(near.select(F.col("b").alias("t"), "distance"))
+    reach = ends.groupBy("t").agg((F.min("distance") + FARTHER).alias("reach"))
+    links = near.join(reach.withColumnRenamed("t", "a"), "a").where("distance <= reach").drop("reach").join(reach.withColumnRenamed("t", "b"), "b").where("distance <= reach").select("a", "b")
+    return links, owned.join(texts, "low").select("text_id", "listing_id", "n")
+
+
+def same_product(listings: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(listing_id_a, listing_id_b), a < b, of every two listings of one product."""
+    links, members = product_links(listings, radius)
     a, b = members.select(F.col("text_id").alias("a"), F.col("listing_id").alias("x")), members.select(F.col("text_id").alias("b"), F.col("listing_id").alias("y"))
-    between = pairs.join(a, "a").join(b, "b").select("x", "y")
+    between = links.join(a, "a").join(b, "b").select("x", "y")
     more = members.where("n > 1")
     copies = more.select("text_id", F.col("listing_id").alias("x")).join(more.select("text_id", F.col("listing_id").alias("y")), "text_id").where("x < y").select("x", "y")
     both = between.unionByName(copies)
