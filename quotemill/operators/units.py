@@ -9,26 +9,45 @@ against the total.
 
 Defined results: null and empty fields, and fields without a figure, give no amount and no case.
 Unknown words beside a figure are passed over at a cost. Without a known feed bare figures are dollars
-with a decimal point.
+with a decimal point. A currency for which the table of units has no factor is a case without an amount.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.operators.numbers import once
+
 #: Spellings of currencies, scales and counts. Single letters keep their case.
 CURRENCY = {
     "USD": ("$", "USD", "US$", "US dollar", "US dollars", "dollar", "dollars"),
     "USC": ("¢", "USc", "USC", "US cent", "US cents", "cent", "cents", "ct", "cts", "c"),
     "EUR": ("€", "EUR", "Euro", "Euros"),
+    "GBP": ("£", "GBP", "pound", "pounds"),
+    "CHF": ("CHF", "Fr.", "SFr."),
+    "JPY": ("¥", "JPY", "yen"),
+    "CNY": ("CNY", "RMB", "yuan"),
+    "INR": ("₹", "INR", "rupees"),
+    "RUB": ("₽", "RUB", "руб."),
+    "BRL": ("R$", "BRL"),
+    "CAD": ("C$", "CA$", "CAD"),
+    "AUD": ("A$", "AU$", "AUD"),
+    "MXN": ("MX$", "MXN"),
+    "PLN": ("zł", "PLN"),
+    "CZK": ("Kč", "CZK"),
+    "SEK": ("SEK",),
+    "NOK": ("NOK",),
+    "DKK": ("DKK",),
 }
 SCALE = {1000.0: ("k", "K", "T", "tsd.", "Tsd.", "tsd", "thousand", "Tausend", "mille")}
 COUNT = {
@@ -151,37 +170,38 @@ def segment(unit: str, field: str) -> tuple[str | None, float, float | None]:
     return currency, scale, basis
 
 
-FIGURE = re.compile(r"-?[0-9](?:[0-9.,']|[\u00a0\u202f](?=[0-9]))*")
+FIGURE = "-?[0-9](?:[0-9.,']|[\u00a0\u202f][0-9])*"
+AROUND = "[\\s\u00a0\u202f]*"
+#: A table of money units has a row for each unit of the world at most.
+MOST_UNITS = 10_000
 
 
-def figure(raw: str, mark: str | None) -> float:
-    """The number of a figure: the last of two kinds of marks is the decimal mark; a single mark is, unless it stands
+def figures(raw: pa.Array, marks: pa.Array) -> pa.Array:
+    """The numbers of figures: the last of two kinds of marks is the decimal mark; a single mark is, unless it stands
     before three digits and is not the feed's; several marks of one kind part thousands."""
-    raw = raw.rstrip(".,'").replace("'", "").replace("\u00a0", "").replace("\u202f", "")
-    dots, commas = raw.count("."), raw.count(",")
-    if dots and commas:
-        decimal = "." if raw.rindex(".") > raw.rindex(",") else ","
-    elif dots + commas == 1:
-        decimal = "." if dots else ","
-        if len(raw) - raw.index(decimal) == 4 and decimal != (mark or "."):
-            decimal = ""
-    else:
-        decimal = ""
-    for c in ".,":
-        raw = raw.replace(c, "." if c == decimal else "")
-    try:
-        return float(raw)
-    except ValueError:
-        return math.nan
-
-
-@lru_cache(maxsize=1 << 16)
-def amount(text: str, mark: str | None, field: str) -> tuple[float | None, str | None, float, float | None]:
-    """(figure, currency, scale, basis) as the text states them; no figure, no amount."""
-    found = FIGURE.search(text)
-    if not found or math.isnan(value := figure(found[0], mark)):
-        return None, None, 1.0, None
-    return value, *segment(text[: found.start()].strip() + "#" + text[found.end() :].strip(), field)
+    raw = pc.replace_substring_regex(pc.replace_substring_regex(raw, r"[.,']+$", ""), "['\u00a0\u202f]", "")
+    dots, commas = pc.count_substring(raw, "."), pc.count_substring(raw, ",")
+    one = pc.equal(pc.add(dots, commas), 1)
+    both = pc.and_(pc.greater(dots, 0), pc.greater(commas, 0))
+    point = pc.if_else(both, pc.match_substring_regex(raw, r"\.[^.,]*$"), pc.greater(dots, 0))
+    own = pc.equal(pc.if_else(point, ".", ","), pc.coalesce(marks, pa.scalar(".")))
+    decimal = pc.or_(both, pc.and_(one, pc.or_(own, pc.invert(pc.match_substring_regex(raw, r"[.,][0-9]{3}$")))))
+    bare = pc.replace_substring_regex(raw, "[.,]", "")
+    plain = pc.if_else(decimal, pc.if_else(point, pc.replace_substring(raw, ",", ""), pc.replace_substring(pc.replace_substring(raw, ".", ""), ",", ".")), bare)
+    return pc.cast(pc.if_else(pc.match_substring_regex(plain, r"^-?[0-9]+(?:\.[0-9]*)?$"), plain, None), pa.float64())
+
+
+def amounts_of(texts: pa.Array, marks: pa.Array, field: str) -> tuple[pa.Array, list, list, list]:
+    """(figures, currencies, scales, bases) as texts state them; no figure, no amount. Each distinct text around a figure is
+    segmented once."""
+    raw = pc.struct_field(pc.extract_regex(texts, f"(?P<f>{FIGURE})"), "f")
+    value = figures(raw, marks)
+    unit = pc.replace_substring_regex(pc.replace_substring_regex(texts, FIGURE, "#", max_replacements=1), f"{AROUND}#{AROUND}", "#", max_replacements=1)
+    unit = pc.if_else(pc.is_valid(value), unit, None).dictionary_encode()
+    known = [segment(u.strip(), field) for u in unit.dictionary.to_pylist()]
+    none = (None, 1.0, None)
+    columns = zip(*(known[k] if k is not None else none for k in unit.indices.to_pylist())) if len(unit) else ((), (), ())
+    return value, *(list(c) for c in columns)
 
 
 AMOUNTS = "n double, p_figure double, p_currency string, p_scale double, stated double, t_figure double, t_currency string, t_scale double, said double"
@@ -192,12 +212,12 @@ AMOUNT_TYPE = T.StructType([T.StructField(f.split()[0], T.StringType() if f.ends
 
 @F.pandas_udf(AMOUNT_TYPE)
 def amounts(quantity: pd.Series, price: pd.Series, total: pd.Series, said: pd.Series, mark: pd.Series) -> pd.DataFrame:
-    rows = []
-    for q, p, t, s, m in zip(quantity, price, total, said, mark):
-        p = amount(p, m, UNIT_PRICE) if p else (None, None, 1.0, None)
-        t = amount(t, m, TOTAL) if t else (None, None, 1.0, None)
-        rows.append((amount(q, m, TOTAL)[0] if q else None, *p, *t[:3], segment("# " + s, UNIT_PRICE)[2] if s else None))
-    table = pd.DataFrame(rows, columns=[f.split()[0] for f in AMOUNTS.split(", ")])
+    marks = pa.array(mark, pa.string(), from_pandas=True)
+    n, p, t = (amounts_of(pa.array(x, pa.string(), from_pandas=True), marks, f) for x, f in ((quantity, TOTAL), (price, UNIT_PRICE), (total, TOTAL)))
+    phrases = pd.factorize(said.where(said.notna(), ""))
+    bases = np.array([segment("# " + s, UNIT_PRICE)[2] if s else None for s in phrases[1]], object)
+    columns = [n[0].to_pandas(), p[0].to_pandas(), *p[1:], t[0].to_pandas(), t[1], t[2], bases[phrases[0]] if len(said) else []]
+    table = pd.DataFrame(dict(zip((f.split()[0] for f in AMOUNTS.split(", ")), columns)))
     return table.astype({c: float for c in table.columns if not c.endswith("currency")})
 
 
@@ -219,9 +239,9 @@ def factors(money_units: DataFrame) -> tuple[dict[str, float], list[float]]:
 
 
 def in_dollars(prefix: str, worth: dict[str, float]) -> Column:
-    """Dollars in the figure's unit: as its text says, else as its feed."""
+    """Dollars in the figure's unit: as its text says, else as its feed; null for a currency without a factor."""
     code = F.coalesce(F.col(f"{prefix}_currency"), F.col("bare"), F.lit("USD"))
-    factor = F.coalesce(F.create_map([F.lit(x) for kv in worth.items() for x in kv])[code], F.lit(1.0))
+    factor = F.create_map([F.lit(x) for kv in worth.items() for x in kv])[code]
     return F.when((F.col(f"{prefix}_scale") != 1) & F.col(f"{prefix}_currency").isNull(), F.col(f"{prefix}_scale")).otherwise(factor * F.col(f"{prefix}_scale"))
 
 
@@ -232,8 +252,8 @@ def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: D
     df = with_feed(rows, summary, feeds)
     said = F.regexp_extract(F.translate("description", *LOOKS_LIKE), PHRASE, 1) if "description" in rows.columns else F.lit("")
     df = df.withColumn("a", amounts("quantity", F.col(price), F.col(total), said, "mark")).select("*", "a.*")
-    df = df.withColumns({"p_factor": in_dollars("p", worth), "t_factor": in_dollars("t", worth)})
-    df = df.withColumns({"p_case": F.col("p_factor") != 1, "t_case": F.col("t_factor") != 1})
+    df = once(df, "worth", F.struct(in_dollars("p", worth).alias("p"), in_dollars("t", worth).alias("t"))).withColumns({"p_factor": F.col("worth.p"), "t_factor": F.col("worth.t")})
+    df = df.withColumns({f"{x}_case": F.coalesce(F.col(f"{x}_factor") != 1, F.lit(True)) for x in "pt"})
     df = df.withColumn("whole", F.col("n") * F.col("p_figure") * F.col("p_factor") / F.coalesce("stated", F.lit(1.0))).withColumn("sum", F.col("t_figure") * F.col("t_factor"))
 
     def close(divisor: float, times: float = 1.0) -> Column:
@@ -241,23 +261,24 @@ def priced(rows: DataFrame, price: str, total: str, summary: DataFrame, feeds: D
         slack = 0.006 * (F.col("t_factor") * times + F.abs(F.col("n")) * F.col("p_factor") / divisor) + 0.0005 * F.abs(F.col("sum") * times)
         return F.abs(F.col("whole") / divisor - F.col("sum") * times) <= slack
 
-    known = F.col("whole").isNotNull() & F.col("sum").isNotNull() & (F.col("sum") != 0) & (F.col("whole") != 0)
-    guess = F.lit(None).cast("double")
+    guess, other = F.lit(None).cast("double"), F.lit(None).cast("double")
     for b in sorted(bases, reverse=True):
         if b > 1:
             guess = F.when(close(b), F.lit(b)).otherwise(guess)
-    # a basis in the description holds unless the figures agree without it
-    hidden = F.when(F.col("stated").isNull(), F.when(known & ~close(1.0), F.coalesce(guess, "said")).when(~F.coalesce(known, F.lit(False)), F.col("said")))
-    told = F.col("t_currency").isNull() & (F.col("t_scale") == 1)
-    other = F.lit(None).cast("double")
     for f in sorted(set(worth.values()) - {1.0}):
-        other = F.when(close(1.0, f) & (F.abs(F.lit(f)) < 1000), F.lit(f)).otherwise(other)
-    df = df.withColumn("hidden", hidden)
+        if abs(f) < 1000:
+            other = F.when(close(1.0, f), F.lit(f)).otherwise(other)
+    known = F.coalesce((F.col("sum") != 0) & (F.col("whole") != 0), F.lit(False))
+    df = once(df, "fit", F.struct(known.alias("known"), F.coalesce(close(1.0), F.lit(False)).alias("exact"), F.coalesce(close(1.0, 1000.0), F.lit(False)).alias("thousand"), guess.alias("guess"), other.alias("other")))
+    told = F.col("t_currency").isNull() & (F.col("t_scale") == 1) & ~F.col("t_case")
+    open_ = F.col("fit.known") & ~F.col("fit.exact")
+    scaled = F.lit(False)
     if total_first:
-        scaled = known & told & ~F.col("t_case") & F.col("stated").isNull() & ~close(1.0) & (guess == 1000) & close(1.0, 1000.0)
-        other = F.when(F.coalesce(scaled, F.lit(False)), F.lit(1000.0)).otherwise(other)
-        df = df.withColumn("hidden", F.when(~F.coalesce(scaled, F.lit(False)), F.col("hidden")))
-    df = df.withColumn("other", F.when(known & told & ~F.col("t_case") & F.col("hidden").isNull() & ~close(1.0), other))
+        scaled = open_ & told & F.col("stated").isNull() & F.coalesce(F.col("fit.guess") == 1000, F.lit(False)) & F.col("fit.thousand")
+    # a basis in the description holds unless the figures agree without it
+    hidden = F.when(F.col("stated").isNull() & ~scaled, F.when(open_, F.coalesce("fit.guess", "said")).when(~F.col("fit.known"), F.col("said")))
+    df = df.withColumn("hidden", hidden)
+    df = df.withColumn("other", F.when(scaled, F.lit(1000.0)).when(open_ & told & F.col("hidden").isNull(), F.col("fit.other")))
     basis = F.coalesce("stated", "hidden", F.lit(1.0))
     has_p, has_t = F.col("p_figure").isNotNull(), F.col("t_figure").isNotNull()
     return df.withColumns(

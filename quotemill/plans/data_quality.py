@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators import units
+from quotemill.plans import money_sql
 from quotemill.sources import rejects
 
 
@@ -60,7 +63,14 @@ WITH r AS (
   FROM c
 )
 """
+_GROUPS = money_sql.GROUPS
+for _cte in ("m0", "m1", "m2", "m3", "m4", "m5", "m6", "m7", "m8", "usd"):
+    _GROUPS = re.sub(rf"\b{_cte}\b", f"g_{_cte}", _GROUPS)
 ORACLE = {
+    "p3_items": f"WITH {money_sql.ITEMS} SELECT item_id, price_usd AS unit_price_usd, total_usd AS cost_usd, price_case AS unit_price_case, total_case AS cost_case FROM usd",
+    "p3_groups": f"WITH {money_sql.GROUPS} SELECT group_id, total_usd AS total_price_usd, total_case AS total_price_case FROM usd",
+    "p3_found": f"""WITH {money_sql.ITEMS}, {_GROUPS} SELECT 'item' AS record_type, item_id AS record_id, 'unit_price' AS field FROM usd WHERE price_case UNION ALL
+ SELECT 'item', item_id, 'cost' FROM usd WHERE total_case UNION ALL SELECT 'group', group_id, 'total_price' FROM g_usd WHERE total_case""",
     "p5_found": _P5_CTE + "SELECT raw_id, reason FROM j WHERE reason IS NOT NULL",
     "p5_loaded": _P5_CTE
     + """SELECT raw_id, CAST(trim(f[1], ' ') AS BIGINT) AS doc_id, CAST(trim(f[2], ' ') AS INTEGER) AS line_no, f[3] AS description,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, classify, currency, descriptions, grouping, lines, numbers, parsing, scoring, units
+from quotemill.plans import money_sql
 from quotemill.runtime import own_path, spread
 from quotemill.streaming import ingest
 
@@ -54,10 +55,7 @@ def literal(pattern: str) -> str:
 LINES = r"""l AS (SELECT doc_id, unnest(range(len(x)))::INTEGER AS line_no, unnest(x) AS line FROM
  (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL))"""
 TRIMMED = LINES + ", t AS (SELECT doc_id, line_no, trim(line, ' ') AS line FROM l)"
-ITEMS = r"""i AS (SELECT item_id, doc_id, line_no, description,
- CASE WHEN regexp_full_match(trim(quantity, ' '), '\d{1,9}') THEN trim(quantity, ' ')::INTEGER END AS quantity,
- CASE WHEN regexp_full_match(trim(unit_price, ' '), '-?\d{1,12}(\.\d{1,4})?') THEN trim(unit_price, ' ')::DECIMAL(18,2)::DOUBLE END AS unit_price,
- CASE WHEN regexp_full_match(trim(cost, ' '), '-?\d{1,12}(\.\d{1,4})?') THEN trim(cost, ' ')::DECIMAL(18,2)::DOUBLE END AS cost FROM quote_items)"""
+ITEMS = money_sql.TYPED
 
 
 @query("doc_lines", f"WITH {LINES} SELECT * FROM l")
