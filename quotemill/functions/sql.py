@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 FUNCTIONS = {
-    "clean_description": ("t STRING", "STRING", r"trim(regexp_replace(regexp_replace(t, '[^A-Za-z0-9\\s\\-_:]', ' '), '\\s+', ' '))"),
+    "clean_description": ("t STRING", "STRING", r"trim(regexp_replace(regexp_replace(t, '[^\\p{L}\\p{M}\\p{N}\\s_:\\-]', ' '), '\\s+', ' '))"),
     "last_separator_number": (
         "x STRING",
         "DECIMAL(18,2)",

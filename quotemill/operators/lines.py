@@ -43,7 +43,8 @@ def repair_part_numbers(line: Column) -> Column:
 
 
 def clean_description(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9\s\-_:]", " "), r"\s+", " "))
+    """Letters and digits of every script, `_`, `-` and `:`; other signs become one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, P.NOT_IN_DESCRIPTION, " "), r"\s+", " "))
 
 
 def insert_quantity(line: Column) -> Column:
@@ -98,11 +99,11 @@ NO_PRICES = ["total:", "subtotal:", "tax:", "shipping:", "discount:", "phone:",
 
 
 def has_prices(line: Column) -> Column:
-    """Two figures or more, and money, decimals, or three figures beside a word for quantity."""
+    """Two figures or more, and money, a figure with at most two decimals, or three figures beside a word for quantity."""
     low = F.lower(line)
-    figures = F.size(F.regexp_extract_all(line, F.lit(r"\d+(?:[.,]\d+)*"), 0))
-    money = line.rlike(r"[$€£¥]") | line.rlike(r"\d+\.\d{2}")
-    return ~low.rlike("|".join(NO_PRICES)) & (figures >= 2) & (money | ((figures >= 3) & low.rlike("qty|quantity|each|pcs|units")))
+    figures = F.regexp_extract_all(line, F.lit(r"[\d,]+\.?\d*"), 0)
+    priced = line.rlike(r"[$€£¥]") | F.exists(figures, lambda x: x.rlike(r"\.\d{0,2}$"))
+    return ~low.rlike("|".join(NO_PRICES)) & (F.size(figures) >= 2) & (priced | ((F.size(figures) >= 3) & low.rlike("|".join(P.QUANTITY_WORDS))))
 
 
 def run_groups(items: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -175,7 +176,7 @@ def regions(lines: DataFrame) -> DataFrame:
     """(doc_id, region, kind, start_line, end_line): a new region begins where the number of figures, capitals, marks or
     money differ from what has been gathered in the present one. One fold over each document's lines."""
     figures = F.size(F.regexp_extract_all("line", F.lit(NUMBER_ANY), 0))
-    marks = F.when(F.length("line") > 0, (F.length("line") - F.length(F.regexp_replace("line", r"[^\w\s]", ""))) / F.length("line")).otherwise(0.0)
+    marks = F.when(F.length("line") > 0, (F.length("line") - F.length(F.regexp_replace("line", P.MARK, ""))) / F.length("line")).otherwise(0.0)
     caps = (F.upper("line") == F.col("line")) & (F.lower("line") != F.col("line")) & (F.length("line") > 5)
     row = F.struct("line_no", figures.alias("figures"), caps.cast("int").alias("caps"), marks.alias("marks"), F.col("line").rlike(r"[$€£¥]").cast("int").alias("money"), F.size(words(F.col("line"))).alias("words"), F.contains("line", F.lit(":")).cast("int").alias("colon"))
     docs = lines.select("doc_id", row.alias("row")).groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))

@@ -2,7 +2,7 @@
 
 Figures are read in any locale; all comparisons are in whole hundredths. Three figures in a row are tried everywhere in a
 line, its last three also as price, quantity, total, and its first as the quantity of its last two. Of several fits the
-exact ones win, then three in a row, then the last. Lines without a fit give an item if their last three fit roughly, if
+exact ones win, then three in a row, then the last. Product words behind three in a row belong to the description. Lines without a fit give an item if their last three fit roughly, if
 they tell of a discount, or if they end in two amounts, price and total; else none.
 """
 
@@ -45,8 +45,8 @@ def items_of(rows: DataFrame) -> DataFrame:
     t = once(t, "t", F.transform("t", read))
     n, at = F.size("t"), lambda i: F.get("t", i)
 
-    def item(level: Column, kind: int, i: Column, q: Column, p: Column, total: Column, left: Column, right: Column) -> Column:
-        return F.struct(level.alias("level"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), q.cast("int").alias("q"), p.alias("p"), total.alias("total"), left.cast("int").alias("left"), right.cast("int").alias("right"))
+    def item(level: Column, kind: int, i: Column, q: Column, p: Column, total: Column, left: Column, right: Column, stop: Column | None = None) -> Column:
+        return F.struct(level.alias("level"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), q.cast("int").alias("q"), p.alias("p"), total.alias("total"), left.cast("int").alias("left"), right.cast("int").alias("right"), (F.length("line") if stop is None else stop).cast("int").alias("stop"))
 
     def fit(kind: int, i: Column, q: Column, price: Column, total: Column, left: Column, right: Column, rough: bool = False) -> Column:
         p, total, total_figure = price["c"], total["c"], total
@@ -57,7 +57,7 @@ def items_of(rows: DataFrame) -> DataFrame:
         if kind < 3 or rough:
             # figures apart from each other, or far from fitting: those of running text, dates and numbers of offers, would do so by chance
             near &= (price["amount"] & total_figure["amount"]) | ((off <= 1) & (price["amount"] | total_figure["amount"]))
-        return F.when(q["q"].between(1, 100000) & (p != 0) & (total != 0) & near, item(level, kind, i, q["q"], p, total, left, right))
+        return F.when(q["q"].between(1, 100000) & (p != 0) & (total != 0) & near, item(level, kind, i, q["q"], p, total, left, right, total_figure["end"] if kind == 3 else None))
 
     zero = F.lit(0)
     in_a_row = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: fit(3, i, at(i), at(i + 1), at(i + 2), zero, at(i)["start"]))
@@ -84,7 +84,9 @@ def items_of(rows: DataFrame) -> DataFrame:
 
     others = F.array_max(F.filter(F.array(F.col("row"), quantity_first, price_first, roughly, discount, pair), lambda w: w.isNotNull()))
     t = once(t, "w", F.when(open_, others).otherwise(F.col("row"))).where("w is not null")
-    described = lines.clean_description(F.substring("line", F.col("w.left") + 1, F.col("w.right") - F.col("w.left")))
+    before_, behind_ = F.trim(F.substring("line", F.col("w.left") + 1, F.col("w.right") - F.col("w.left"))), F.trim(F.substring("line", F.col("w.stop") + 1, F.length("line")))
+    belongs = (before_ != "") & (behind_ != "") & (F.length(behind_) < 100) & F.lower(behind_).rlike("|".join(P.TRAILING_WORDS))
+    described = lines.clean_description(F.when(belongs, F.concat(before_, F.lit(" "), behind_)).otherwise(before_))
     return t.select("doc_id", "line_no", described.alias("description"), F.col("w.q").alias("quantity"), (F.col("w.p") / 100).alias("unit_price"), (F.col("w.total") / 100).alias("cost"))
 
 

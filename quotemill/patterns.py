@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 TOKEN = r"\d{1,3}(?:[.,]\d{3})+[.,]\d{2}\b|\d+[.,]\d{2}\b|\d+"
+#: What a description does not keep, and signs that are neither letters, digits nor blanks, in every script.
+NOT_IN_DESCRIPTION = r"[^\p{L}\p{M}\p{N}\s_:\-]"
+MARK = r"[^\p{L}\p{M}\p{N}_\s]"
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d{2})?"
 ROW_NUMBER = r"\d+(?:,\d{3})*(?:\.\d{2})?"
 
@@ -61,4 +64,7 @@ ADJUSTMENTS = [
     ("total", r"^(?:grand\s+|final\s+|quote\s+)?total\s*:?\s*[$€£]?\s*(\d[\d.,]*\d|\d)"),
 ]
 PRIORITY = {"subtotal": 1, "tax_amount": 2, "tax_percentage": 2, "shipping": 3, "handling": 3, "freight": 3, "discount_amount": 4, "discount_percentage": 4, "total": 5}
+QUANTITY_WORDS = ["qty", "quantity", "pcs", "ea", "each", "units"]
+#: Words behind the figures of a row that belong to its description.
+TRAILING_WORDS = ["machine", "de-burr", "deburr", "material", "steel", "aluminum", "plastic", "coating", "finish", "assembly", "component", "part", "clear", "black", "white", "polypropylene", "and", "with"]
 SYMBOLS = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR")]

@@ -163,7 +163,7 @@ def _(s, d):
 
 @query(
     "clean_description",
-    "SELECT item_id, trim(regexp_replace(regexp_replace(description, '[^A-Za-z0-9\\s\\-_:]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS description FROM quote_items",
+    "SELECT item_id, trim(regexp_replace(regexp_replace(description, '[^\\pL\\pM\\pN\\s_:\\-]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS description FROM quote_items",
 )
 def _(s, d):
     return table(s, d, "quote_items").select("item_id", lines.clean_description(F.col("description")).alias("description"))
@@ -209,7 +209,7 @@ MARKS = r"(length({0}) - length(regexp_replace({0}, '[^A-Za-z0-9_\s]', '', 'g'))
 
 @query(
     "garbled_lines",
-    f"""WITH {LINES} SELECT doc_id, line_no FROM l WHERE regexp_matches(line, '<0a>|<[0-9a-f]{{2}}>|Internal Error:|Cannot handle URI|[A-Za-z]{{20,}}|[^\\x00-\\x7F]{{10,}}|[^A-Za-z0-9_\\s]{{5,}}')
+    f"""WITH {LINES} SELECT doc_id, line_no FROM l WHERE regexp_matches(line, '<0a>|<[0-9a-f]{{2}}>|Internal Error:|Cannot handle URI|[A-Za-z]{{20,}}|[^\\x00-\\x7F\\pL]{{10,}}|[^\\pL\\pM\\pN_\\s]{{5,}}')
  OR (length(line) > 0 AND 10 * {MARKS.format('line')} > 3 * length(line))""",
 )
 def _(s, d):
@@ -217,7 +217,7 @@ def _(s, d):
 
 
 def _noise_oracle() -> str:
-    parts = [f"CASE WHEN len(w) < 2 THEN 3 ELSE 0 END + CASE WHEN 2 * len(list_filter(w, lambda x: length(x) = 1)) > len(w) THEN 8 ELSE 0 END + CASE WHEN regexp_matches(line, '[A-Za-z]\\s+\\d\\s+[A-Za-z]\\s+\\d') THEN 6 ELSE 0 END"]
+    parts = [f"CASE WHEN len(w) < 2 THEN 3 ELSE 0 END + CASE WHEN 2 * len(list_filter(w, lambda x: length(x) = 1)) > len(w) THEN 8 ELSE 0 END + CASE WHEN regexp_matches(line, '\\pL\\s+\\d\\s+\\pL\\s+\\d') THEN 6 ELSE 0 END"]
     parts += [f"CASE WHEN regexp_matches(line, {literal(p)}) THEN 7 ELSE 0 END" for p in classify.TECHNICAL_NOISE]
     parts += [f"CASE WHEN regexp_matches(lower(line), {literal(p)}) THEN 9 ELSE 0 END" for p in classify.METADATA_NOISE]
     parts += [f"CASE WHEN 10 * {MARKS.format('line')} > 3 * length(line) THEN 6 ELSE 0 END", "CASE WHEN 2 * (length(line) - length(regexp_replace(line, '[0-9]', '', 'g'))) > length(line) THEN 4 ELSE 0 END"]
@@ -280,7 +280,8 @@ def _(s, d):
 @query(
     "data_sections",
     f"""WITH {TRIMMED}, p AS (SELECT doc_id, line_no, NOT regexp_matches(lower(line), '{"|".join(lines.NO_PRICES)}')
- AND len(regexp_extract_all(line, '\\d+(?:[.,]\\d+)*')) >= 2 AND (regexp_matches(line, '[$€£¥]') OR regexp_matches(line, '\\d+\\.\\d{{2}}') OR (len(regexp_extract_all(line, '\\d+(?:[.,]\\d+)*')) >= 3 AND regexp_matches(lower(line), 'qty|quantity|each|pcs|units'))) AS priced
+ AND len(regexp_extract_all(line, '[\\d,]+\\.?\\d*')) >= 2 AND (regexp_matches(line, '[$€£¥]') OR len(list_filter(regexp_extract_all(line, '[\\d,]+\\.?\\d*'), lambda x: regexp_matches(x, '\\.\\d{{0,2}}$'))) > 0
+ OR (len(regexp_extract_all(line, '[\\d,]+\\.?\\d*')) >= 3 AND regexp_matches(lower(line), 'qty|quantity|pcs|ea|each|units'))) AS priced
  FROM t WHERE line <> ''), i AS (SELECT *, sum(CASE WHEN priced THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island, max(line_no) OVER (PARTITION BY doc_id) AS last FROM p),
  r AS (SELECT doc_id, island, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines, max(last) AS last FROM i WHERE priced GROUP BY 1, 2)
  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first_line))::INTEGER AS section, first_line, last_line, n_lines FROM r WHERE n_lines >= 2 OR last_line = last""",
@@ -333,15 +334,34 @@ def _(s, d):
     return lines.regions(doc_lines(s, d))
 
 
+SIGN = "[$€£¥₹]"
+SUMMARY_LINE = "|".join(p for _, p in P.ADJUSTMENTS)
+#: The items of each line in SQL: every candidate is a row, and the first by level, kind and place is taken.
 PARSED = rf"""k AS (SELECT doc_id, line_no, line, regexp_extract_all(line, {literal(P.TOKEN)}) AS raw, regexp_split_to_array(line, {literal(P.TOKEN)}) AS gap FROM t
- WHERE NOT regexp_matches(lower(line), {literal(P.SKIP_PATTERN)})),
- c AS (SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[.,]\d{{2}}$') THEN regexp_replace(x, '[.,]', '', 'g')::HUGEINT ELSE x::HUGEINT * 100 END) AS c FROM k WHERE len(raw) >= 3),
- w AS (SELECT doc_id, line_no, line, raw, gap, c, unnest(range(1, len(raw) - 1)) AS i FROM c),
- f AS (SELECT *, CASE WHEN regexp_full_match(raw[i], '\d{{1,6}}') THEN raw[i]::INTEGER END AS q, c[i + 1] AS p, c[i + 2] AS total FROM w),
- h AS (SELECT *, CASE WHEN abs(q * p - total) <= 1 THEN 1 ELSE 0 END AS exact FROM f WHERE q BETWEEN 1 AND 100000 AND p > 0 AND total > 0 AND (abs(q * p - total) <= 1 OR 10 * abs(q * p - total) <= total)),
- b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY exact DESC, i DESC) AS n FROM h),
- items AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(substr(line, 1, (list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(raw[1:i - 1], lambda x: length(x))), 0))::BIGINT), '[^A-Za-z0-9\s\-_:]', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS description,
- q AS quantity, p::DOUBLE / 100 AS unit_price, total::DOUBLE / 100 AS cost FROM b WHERE n = 1)"""
+ WHERE NOT regexp_matches(lower(line), {literal(P.SKIP_PATTERN)}) AND len(regexp_extract_all(line, {literal(P.TOKEN)})) >= 2),
+ tk AS (SELECT doc_id, line_no, line, len(raw) AS n, unnest(range(1, len(raw) + 1)) AS i, unnest(raw) AS raw, unnest(list_transform(range(1, len(raw) + 1), lambda i: list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(raw[1:i - 1], lambda x: length(x))), 0)::BIGINT)) AS s FROM k),
+ tl AS (SELECT *, s + length(raw) AS e, CASE WHEN regexp_full_match(raw, '\d{{1,6}}') THEN raw::INTEGER END AS q, try_cast(CASE WHEN regexp_matches(raw, '[.,]\d{{2}}$') THEN regexp_replace(raw, '[.,]', '', 'g') ELSE regexp_replace(raw, '[.,]', '', 'g') || '00' END AS BIGINT) AS c0,
+  substr(line, greatest(s - 3, 1), least(s, 4)) AS before, substr(line, s + length(raw) + 1, 4) AS behind FROM tk),
+ tm AS (SELECT *, CASE WHEN regexp_matches(line, '-{SIGN}?\s?\d') AND regexp_matches(before, '(?:^|[\s(:])-{SIGN}?\s?$|{SIGN}\s?-$') THEN -c0 ELSE c0 END AS c,
+  (regexp_matches(raw, '[.,]\d{{2}}$') AND q IS NULL) OR regexp_matches(before, '{SIGN}\s?-?$') OR (regexp_matches(behind, '^\s?{SIGN}') AND NOT regexp_matches(behind, '^\s?{SIGN}\s?[-\d]')) AS amount, starts_with(ltrim(behind, ' '), '%') AS percent FROM tl),
+ ln AS (SELECT doc_id, line_no, line, any_value(n) AS n, list({{'s': s, 'e': e, 'q': q, 'c': c, 'amount': amount, 'percent': percent}} ORDER BY i) AS t FROM tm GROUP BY 1, 2, 3),
+ cand AS (SELECT doc_id, line_no, line, n, t, 3 AS kind, i - 1 AS i, t[i] AS a, t[i + 1] AS b, t[i + 2] AS z, 0 AS l, t[i].s AS r, t[i + 2].e AS stop FROM (SELECT *, unnest(range(1, n - 1)) AS i FROM ln WHERE n >= 3)
+  UNION ALL SELECT doc_id, line_no, line, n, t, 2, 0, t[1], t[n - 1], t[n], t[1].e, t[n - 1].s, length(line) FROM ln WHERE n >= 3
+  UNION ALL SELECT doc_id, line_no, line, n, t, 1, 0, t[n - 1], t[n - 2], t[n], 0, t[n - 2].s, length(line) FROM ln WHERE n >= 3),
+ f1 AS (SELECT *, abs(a.q::HUGEINT * b.c - z.c) AS gap, a.q::HUGEINT * b.c AS product FROM cand WHERE a.q BETWEEN 1 AND 100000 AND b.c <> 0 AND z.c <> 0),
+ f2 AS (SELECT doc_id, line_no, line, CASE WHEN gap <= 1 THEN 1 ELSE 0 END AS level, kind, i, a.q AS q, b.c AS p, z.c AS total, l, r, stop FROM f1
+   WHERE (gap <= 1 OR 10.0 * gap <= abs(z.c)) AND (kind = 3 OR (b.amount AND z.amount) OR (gap <= 1 AND (b.amount OR z.amount)))
+  UNION ALL SELECT doc_id, line_no, line, -1, 3, i, a.q, b.c, z.c, l, r, stop FROM f1 WHERE kind = 3 AND i = n - 3 AND (gap <= 50 OR gap <= 0.15 * abs(product)) AND ((b.amount AND z.amount) OR (gap <= 1 AND (b.amount OR z.amount)))),
+ rest AS (SELECT doc_id, line_no, line, t, t[1] AS a, t[2] AS b, t[n - 1] AS y, t[n] AS z FROM ln WHERE NOT regexp_matches(lower(line), {literal(SUMMARY_LINE)})),
+ f3 AS (SELECT doc_id, line_no, line, -2 AS level, 0 AS kind, 0 AS i, CASE WHEN counted THEN a.q ELSE 1 END AS q, CASE WHEN counted THEN b.c ELSE a.c END AS p, CASE WHEN counted THEN a.q * b.c ELSE a.c END AS total, 0 AS l, a.s AS r, length(line) AS stop
+   FROM (SELECT *, coalesce(a.q BETWEEN 1 AND 100000 AND NOT a.amount AND NOT a.percent AND b.c <> 0, FALSE) AS counted FROM rest)
+   WHERE (regexp_matches(lower(line), '\b(?:{'|'.join(P.DISCOUNT)})s?\b') OR (length(line) <= 50 AND len(list_filter(t, lambda x: x.c < 0)) > 0)) AND a.s > 0 AND b.amount AND regexp_matches(substr(line, a.e + 1, b.s - a.e), '^(?:\s|{SIGN}|-)*$') AND (counted OR (a.amount AND a.c <> 0))
+  UNION ALL SELECT doc_id, line_no, line, -3, 0, 0, CASE WHEN y.c > 0 AND round_even(z.c::DOUBLE / y.c, 0) BETWEEN 1 AND 100000 AND abs(round_even(z.c::DOUBLE / y.c, 0) * y.c - z.c) <= 0.05 * abs(z.c) THEN round_even(z.c::DOUBLE / y.c, 0)::INTEGER ELSE 1 END, y.c, z.c, 0, y.s, length(line)
+   FROM rest WHERE z.amount AND y.amount AND regexp_matches(substr(line, y.e + 1, z.s - y.e), '^(?:\s|{SIGN}|-)*$') AND regexp_matches(substr(line, z.e + 1, 8), '^(?:\s|{SIGN})*$') AND y.c <> 0 AND z.c <> 0 AND regexp_matches(substr(line, 1, y.s), '\pL{{2}}')),
+ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY level DESC, kind DESC, i DESC, q DESC, p DESC, total DESC) AS place FROM (SELECT * FROM f2 UNION ALL SELECT * FROM f3)),
+ d AS (SELECT *, trim(substr(line, l + 1, r - l), ' ') AS before, trim(substr(line, stop + 1), ' ') AS behind FROM b WHERE place = 1),
+ items AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(CASE WHEN before <> '' AND behind <> '' AND length(behind) < 100 AND regexp_matches(lower(behind), '{'|'.join(P.TRAILING_WORDS)}') THEN before || ' ' || behind ELSE before END, '[^\pL\pM\pN\s_:\-]', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS description,
+ q::INTEGER AS quantity, p::DOUBLE / 100 AS unit_price, total::DOUBLE / 100 AS cost FROM d)"""
 
 
 @query("parsed_items", f"WITH {TRIMMED}, {PARSED} SELECT * FROM items")
