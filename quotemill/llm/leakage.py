@@ -3,8 +3,12 @@
 Words (maximal runs of letters or decimal digits, case folded) become 64-bit hashes. A window of
 twelve words gives one hash for each mask; a mask looks at six of the twelve positions and ignores
 the others. The six masks are all pairs of four blocks of three positions, so any two substituted
-words inside a window leave one mask that still hits. Hashes of the test items meet those of the
-documents in a join, and every hit is checked word by word.
+words inside a window leave one mask that still hits; for windows without a substitution one mask is
+enough. Hashes of the test items meet those of the documents in a join. A row of it holds, beside its
+place, a hash of the whole window and 32 bits of each ignored word, by which every hit is checked.
+
+Windows of the corpus that no test window can meet are left out before the shuffle by a table of bits
+of fixed size, filled with all test hashes. It only lets too many through when the test items are many.
 
 Defined results: null texts, texts without words and items under twelve words match nothing; a
 repeated passage or item gives one row a pair. Case is folded character by character, so that ß and SS differ.
@@ -21,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.rolling import CHUNK, ROLLING, mix
-from quotemill.runtime import blocks, code_points
+from quotemill.runtime import blocks, code_points, materialise
 
 WINDOW = 12
 BLOCK = 3
 MASKS = [sorted(p for b in pair for p in range(b * BLOCK, b * BLOCK + BLOCK)) for pair in combinations(range(WINDOW // BLOCK), 2)]
-#: Test windows up to which their hashes go to every task as a sorted array (8 bytes each a mask); beyond it all
-#: windows of the corpus meet them in the join alone.
-FILTER_WINDOWS = 200_000
+REST = [[p for p in range(WINDOW) if p not in mask] for mask in MASKS]
+#: Bits of the table of test hashes, a mask: the first FILTER_BITS of a hash are a place in it.
+FILTER_BITS = 22
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -74,19 +78,12 @@ def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     return mix(total)
 
 
-SEED_SCHEMA = "id long, mask int, seed long, at int, window array<long>, n_words int"
+SEED_SCHEMA = "id long, mask int, seed long, at int, whole long, r0 long, r1 long, r2 long, n_words int"
 
 
-def _seed_rows(wanted: list[np.ndarray] | None):
-    """Rows of SEED_SCHEMA for batches (id, text); only seeds in `wanted` (a sorted array a mask) if it is given."""
-    schema = pa.schema([("id", pa.int64()), ("mask", pa.int32()), ("seed", pa.int64()), ("at", pa.int32()), ("window", pa.list_(pa.int64())), ("n_words", pa.int32())])
-    bits = None
-    if wanted is not None:
-        bits = []
-        for own in wanted:
-            table = np.zeros(1 << 18, bool)
-            table[own >> np.uint64(46)] = True
-            bits.append(table)
+def _seed_rows(masks: list[int], wanted: dict[int, np.ndarray] | None):
+    """Rows of SEED_SCHEMA for batches (id, text); only seeds whose bit in `wanted` is set, if it is given."""
+    schema = pa.schema([("id", pa.int64()), ("mask", pa.int32()), ("seed", pa.int64()), ("at", pa.int32()), *((c, pa.int64()) for c in ("whole", "r0", "r1", "r2")), ("n_words", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -101,66 +98,64 @@ def _seed_rows(wanted: list[np.ndarray] | None):
                 if len(hashes) < WINDOW:
                     continue
                 n = len(hashes) - WINDOW + 1
-                whole = text[:n] == text[WINDOW - 1 :]
+                inside = text[:n] == text[WINDOW - 1 :]
                 count = np.bincount(text, minlength=hi - lo)
                 begin = np.cumsum(count) - count
-                for mask in range(len(MASKS)):
+                whole = None
+                for mask in masks:
                     value = seeds(hashes, mask)
                     if wanted is None:
-                        at = np.flatnonzero(whole)
+                        at = np.flatnonzero(inside)
                     else:
-                        at = np.flatnonzero(whole & bits[mask][value >> np.uint64(46)])
-                        if len(at):
-                            spot = np.minimum(np.searchsorted(wanted[mask], value[at]), len(wanted[mask]) - 1)
-                            at = at[wanted[mask][spot] == value[at]]
+                        at = np.flatnonzero(inside & wanted[mask][value >> np.uint64(64 - FILTER_BITS)])
+                    if not len(at):
+                        continue
+                    whole = ROLLING.grams(hashes, WINDOW).view(np.int64) if whole is None else whole
+                    rest = [(hashes[at + a] & np.uint64(0xFFFFFFFF) | (hashes[at + b] << np.uint64(32))).view(np.int64) for a, b in zip(REST[mask][::2], REST[mask][1::2])]
+                    own = text[at]
+                    columns = [ids[lo:hi][own], np.full(len(at), mask, np.int32), value[at].view(np.int64), (at - begin[own]).astype(np.int32), whole[at], *rest, count[own].astype(np.int32)]
                     for a in range(0, len(at), 1 << 16):
-                        some = at[a : a + (1 << 16)]
-                        if not len(some):
-                            continue
-                        window = hashes[some[:, None] + np.arange(WINDOW)].view(np.int64).ravel()
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(ids[lo:hi][text[some]]),
-                                pa.array(np.full(len(some), mask, np.int32)),
-                                pa.array(value[some].view(np.int64)),
-                                pa.array((some - begin[text[some]]).astype(np.int32)),
-                                pa.ListArray.from_arrays(pa.array(np.arange(0, len(window) + 1, WINDOW, dtype=np.int32)), pa.array(window)),
-                                pa.array(count[text[some]].astype(np.int32)),
-                            ],
-                            schema=schema,
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in columns], schema=schema)
 
     return run
 
 
-def seed_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, mask, doc_at, item_at, same, n_words): windows that share a seed, with the number of equal words."""
-    tests = items.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_seed_rows(None), SEED_SCHEMA).persist()
-    rows = tests.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()  # six rows at most
-    wanted = None
-    small = max([r["n"] for r in rows], default=0) <= FILTER_WINDOWS
-    if small:
-        table = tests.select("mask", "seed").distinct().toPandas()
-        wanted = [np.sort(table.loc[table["mask"] == m, "seed"].to_numpy(np.int64).view(np.uint64)) for m in range(len(MASKS))]
-        if not len(table):
-            wanted = [np.array([0], np.uint64)] * len(MASKS)
-    corpus = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_seed_rows(wanted), SEED_SCHEMA)
-    tests = tests.select(F.col("id").alias("item_id"), "mask", "seed", F.col("at").alias("item_at"), F.col("window").alias("item_window"), "n_words")
-    tests = F.broadcast(tests) if small else tests
+def seed_bits(tests: DataFrame, masks: list[int]) -> dict[int, np.ndarray]:
+    """For each mask the places of the tests' hashes in a table of 2 ** FILTER_BITS; 2 ** (FILTER_BITS - 6) rows a mask reach the driver at most."""
+    place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    packed = tests.select("mask", place.alias("p")).groupBy("mask", F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    out = {}
+    for mask in masks:
+        own = packed[packed["mask"] == mask]
+        table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        table[own["word"].to_numpy(np.int64)] = own["bits"].to_numpy(np.int64)
+        out[mask] = np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    return out
+
+
+def seed_hits(docs: DataFrame, items: DataFrame, masks: list[int]) -> DataFrame:
+    """(doc_id, item_id, mask, doc_at, item_at, equal, same, n_words): windows that share a seed, whether they are equal, and
+    the number of equal words. A seed that very many documents hold is split by the skew join of adaptive execution."""
+    tests = materialise(items.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_seed_rows(masks, None), SEED_SCHEMA), "tests")
+    corpus = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_seed_rows(masks, seed_bits(tests, masks)), SEED_SCHEMA)
+    tests = tests.select(F.col("id").alias("item_id"), "mask", "seed", F.col("at").alias("item_at"), "n_words", *(F.col(c).alias(f"t_{c}") for c in ("whole", "r0", "r1", "r2")))
     hits = corpus.drop("n_words").join(tests, ["mask", "seed"])
-    same = F.aggregate(F.zip_with("window", "item_window", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return hits.select(F.col("id").alias("doc_id"), "item_id", "mask", F.col("at").alias("doc_at"), "item_at", same.alias("same"), "n_words")
+    same = F.lit(WINDOW // 2)
+    for c in ("r0", "r1", "r2"):
+        differ = F.col(c).bitwiseXOR(F.col(f"t_{c}"))
+        same = same + (differ.bitwiseAND(F.lit(0xFFFFFFFF)) == 0).cast("int") + (F.shiftrightunsigned(differ, 32) == 0).cast("int")
+    return hits.select(F.col("id").alias("doc_id"), "item_id", "mask", F.col("at").alias("doc_at"), "item_at", (F.col("whole") == F.col("t_whole")).alias("equal"), same.alias("same"), "n_words")
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of documents and items that share twelve or more consecutive words."""
-    return seed_hits(docs, items).where(F.col("same") == WINDOW).select("doc_id", "item_id").distinct()
+    return seed_hits(docs, items, [0]).where(F.col("equal") & (F.col("same") == WINDOW)).select("doc_id", "item_id").distinct()
 
 
 def overlaps(docs: DataFrame, items: DataFrame, most_changed: int = 2) -> DataFrame:
     """(doc_id, item_id, leaked_words, item_words, leaked_share): how much of an item stands in a document, windows of
     twelve words with at most `most_changed` substituted words counting as leaked."""
-    hits = seed_hits(docs, items).where(F.col("same") >= WINDOW - most_changed)
+    hits = seed_hits(docs, items, list(range(len(MASKS)))).where(F.col("same") >= WINDOW - most_changed)
     places = hits.select("doc_id", "item_id", "n_words", F.explode(F.sequence("item_at", F.col("item_at") + WINDOW - 1)).alias("place")).distinct()
     found = places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).cast("int").alias("leaked_words"), F.max("n_words").alias("item_words"))
     return found.withColumn("leaked_share", F.col("leaked_words") / F.col("item_words"))

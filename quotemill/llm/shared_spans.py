@@ -28,7 +28,9 @@ from quotemill.runtime import blocks, code_points, materialise
 GRAM = 100
 INDEX_SEGMENTS = 8192
 REFINE_FROM = 64
+#: Different segments of one key that meet in one place; more of them fall into blocks that all segments of the key pass.
 BLOCK_FROM = 4096
+SHARD_SEGMENTS = 20_000
 
 
 def winnow(codes: np.ndarray, lengths: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +86,7 @@ def _anchor_rows(span: int):
 
 
 def _segment_rows(span: int, gram: int = GRAM):
-    schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("own", pa.bool_()), ("digest", pa.int64()), ("start", pa.int32()), ("segment", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("segment", pa.string())])
     side = span - gram
 
     def run(batches):
@@ -100,12 +102,9 @@ def _segment_rows(span: int, gram: int = GRAM):
                         half = side // 2
                         parts = [b"L" + text[pos - half : pos + gram].encode("utf-8", "surrogatepass")] * (pos >= half) + [b"R" + text[pos : pos + gram + half].encode("utf-8", "surrogatepass")] * (pos + gram + half <= len(text))
                         keys = [signed(xxhash.xxh64_intdigest(p)) for p in parts]
-                    salts = -(-n // BLOCK_FROM)
                     for key in keys:
-                        mine = xxhash.xxh64_intdigest(segment.encode("utf-8", "surrogatepass"), 3) % salts
-                        for salt in range(salts):
-                            for column, value in zip(out, (key, salt, salt == mine, digest, start, segment)):
-                                column.append(value)
+                        for column, value in zip(out, (key, digest, start, segment)):
+                            column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
@@ -131,11 +130,13 @@ class FMIndex:
         self.alphabet = np.unique(codes)
         text = np.zeros(n, np.int64)
         text[place] = np.searchsorted(self.alphabet, codes) + 1
-        self.text, self.n = text, n
+        self.n = n
         rank = text + (m - 1)
         rank[~place] = np.arange(m)
-        self.sa = suffixes(rank, int(lengths.max(initial=0)) + 1)
-        bwt = text[self.sa - 1]
+        order = suffixes(rank, int(lengths.max(initial=0)) + 1)
+        bwt = text[order - 1]
+        self.sa = order.astype(np.int32)  # a shard's index is far under 2 ** 31 characters
+        self.text = text.astype(np.uint16 if len(self.alphabet) < 1 << 16 else np.int32)
         counts = np.bincount(text, minlength=len(self.alphabet) + 1)
         self.first = np.cumsum(counts) - counts
         self.levels = max(1, int(len(self.alphabet)).bit_length())
@@ -143,7 +144,7 @@ class FMIndex:
         for level in range(self.levels - 1, -1, -1):
             bit = (bwt >> level) & 1 > 0
             packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            ones = np.zeros(len(packed) + 1, np.int64)
+            ones = np.zeros(len(packed) + 1, np.int32)
             np.cumsum(np.bitwise_count(packed), out=ones[1:])
             self.words.append(packed)
             self.before.append(ones)
@@ -181,7 +182,7 @@ class FMIndex:
             who, lo, hi = who[go], lo[go], hi[go]
             if not len(who):
                 break
-            symbol = self.text[ends[who] - 1 - step]
+            symbol = self.text[ends[who] - 1 - step].astype(np.int64)
             lo, hi = self.extend(symbol, lo, hi)
             alive = hi - lo > 1
             who, lo, hi = who[alive], lo[alive], hi[alive]
@@ -254,7 +255,7 @@ def spans_of(segments: list[str], own: np.ndarray, span: int, step: int | None =
         count = (hi - lo)[a:b]
         which = np.repeat(np.arange(a, b), count)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        spot = index.sa[lo[which] + offset]
+        spot = index.sa[lo[which] + offset].astype(np.int64)
         hit = np.searchsorted(index.starts, spot, side="right") - 1
         q, qs = query[which], end[which] - need
         hs = spot - index.starts[hit]
@@ -312,40 +313,48 @@ def texts_with_digest(docs: DataFrame, span: int) -> DataFrame:
     return docs.where(F.length("text") >= span).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
 
 
-def text_links(docs: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(links, texts): maximal shared spans between different texts, and the texts with their documents.
+def class_pairs(docs: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members, texts). Segments of one key with the same text are one class.
 
-    links(first, second, at_first, at_second, length): digests of two texts, offsets in code points.
-    A span longer than a segment comes as several overlapping rows that cover it together.
+    pairs(key, first, second, at_first, at_second, length): maximal spans of a class in another one, or of a class with
+    several members in itself; members(key, class, digest, start): where each class stands; texts(doc_id, digest).
     """
     spark = docs.sparkSession
     texts = texts_with_digest(docs, span)
-    anchors = texts.mapInArrow(_anchor_rows(span), "anchor long, digest long, pos int, doc_id long")
-    at = Window.partitionBy("anchor")
-    shared = (
-        anchors.withColumns({"least": F.min("digest").over(at), "most": F.max("digest").over(at), "n": F.count(F.lit(1)).over(at)})
-        .where(F.col("least") < F.col("most"))
-        .groupBy("anchor", "digest", "pos")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"))
-    )
+    anchors = materialise(texts.mapInArrow(_anchor_rows(span), "anchor long, digest long, pos int, doc_id long"), "anchors")
+    # counted first, so that an anchor of very many texts meets its count in a join that can be split
+    counts = anchors.groupBy("anchor").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count(F.lit(1)).cast("int").alias("n")).where("least < most").select("anchor", "n")
+    shared = anchors.join(counts, "anchor").groupBy("anchor", "digest", "pos").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     marks = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("marks"))
-    segments = texts.join(marks, "doc_id").mapInArrow(_segment_rows(span), "key long, salt int, own boolean, digest long, start int, segment string")
+    segments = texts.join(marks, "doc_id").mapInArrow(_segment_rows(span), "key long, digest long, start int, segment string")
     segments = materialise(segments.withColumn("class", F.xxhash64("segment")), "segments")
-    classes = segments.groupBy("key", "salt", "own", "class").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("members"))
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    classes = segments.groupBy("key", "class").agg(F.first("segment").alias("segment"), F.count(F.lit(1)).alias("members"))
+    hot = segments.select("key", "class").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_FROM).select("key", F.ceil(F.col("n") / BLOCK_FROM).cast("int").alias("salts"))
+    blocked = classes.join(hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("class"), F.col("salts")) == F.col("salt")).drop("salts")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments.count() // SHARD_SEGMENTS)
     pairs = (
-        classes.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)))
+        blocked.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)))
         .groupBy("shard")
         .applyInArrow(_shard_rows(span), "key long, first long, second long, at_first int, at_second int, length int")
     )
-    members = segments.where("own").select("key", "class", "digest", "start")
+    return pairs, segments.select("key", "class", "digest", "start"), texts.select("doc_id", "digest")
+
+
+def text_links(docs: DataFrame, span: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(links, texts): maximal shared spans between different texts, and the texts with their documents.
+
+    links(first, second, at_first, at_second, length): digests of two texts, offsets in code points.
+    A span longer than a segment comes as several overlapping rows that cover it together.
+    """
+    pairs, members, texts = class_pairs(docs, span)
     a = members.select("key", F.col("class").alias("first"), F.col("digest").alias("da"), F.col("start").alias("sa"))
     b = members.select("key", F.col("class").alias("second"), F.col("digest").alias("db"), F.col("start").alias("sb"))
     links = (
         pairs.join(a, ["key", "first"]).join(b, ["key", "second"]).where(F.col("da") < F.col("db"))
         .select(F.col("da").alias("first"), F.col("db").alias("second"), (F.col("sa") + F.col("at_first")).alias("at_first"), (F.col("sb") + F.col("at_second")).alias("at_second"), "length")
     )
-    return links, texts.select("doc_id", "digest")
+    return links, texts
 
 
 def shared_pairs(docs: DataFrame, span: int = 200) -> DataFrame:
@@ -366,9 +375,11 @@ def shared_share(docs: DataFrame, span: int = 200) -> DataFrame:
 
     Null text: null counts. A document with an exact copy is shared as a whole if it has `span` characters.
     """
-    links, texts = text_links(docs, span)
-    links = materialise(links, "links")
-    sides = links.select(F.col("first").alias("digest"), F.col("at_first").alias("start"), "length").unionByName(links.select(F.col("second").alias("digest"), F.col("at_second").alias("start"), "length"))
+    pairs, members, texts = class_pairs(docs, span)
+    # a span of a class is shared for a text if any other text holds the other class: its least and greatest digest tell
+    held = members.groupBy("key", "class").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    spans = pairs.join(held.withColumnRenamed("class", "second"), ["key", "second"]).groupBy("key", F.col("first").alias("class"), "at_first", "length").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    sides = members.join(spans, ["key", "class"]).where((F.col("low") != F.col("digest")) | (F.col("high") != F.col("digest"))).select("digest", (F.col("start") + F.col("at_first")).alias("start"), "length")
     sides = sides.withColumn("stop", F.col("start") + F.col("length")).distinct()
     order = Window.partitionBy("digest").orderBy("start", "stop")
     before = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -3,8 +3,9 @@
 Texts are split by the tokenizer's own pattern, stated here as rules over runs of character classes
 so that a batch of texts is split in one go; equal pieces are encoded once. A text longer than
 PART_CHARS is cut into parts that different tasks encode, and a piece that the pattern does not split
-is encoded in halves. Both are put together by tree concatenation: windows around each join are
-encoded again and grow until both sides agree.
+is encoded in halves. Both are put together by tree concatenation, neighbours first, in tasks of their
+own level by level: windows around each join are encoded again and grow until both sides agree. Pieces
+are looked up by a hash and compared with the ones that were learnt.
 
 Defined ids: null and empty texts have no ids (an empty list). Strings that look like special tokens
 are ordinary text. Characters that this Python's Unicode tables do not know are left to the
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from quotemill.llm.rolling import CHUNK, ROLLING
 from quotemill.runtime import blocks, code_points
 
 PART_CHARS = 1 << 13
+FAN_IN = 16  # parts that one task joins
 LONG_PIECE = 256
 CACHED_PIECES = 1 << 20
 SLOTS = 1 << 20
@@ -35,6 +37,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WHITE = (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
+#: A part of a text: its characters, where its pieces begin, the number of ids of each, and the ids.
+Part = tuple[str, np.ndarray, np.ndarray, np.ndarray]
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     try:
         import public_tokenizers
@@ -72,6 +78,7 @@ class Encoder:
         self.slot_key, self.slot_at = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.offset, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.int32), 0
+        self.text, self.text_used, self.text_at, self.text_size = np.zeros(4096, np.uint32), 0, np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     # pieces
 
@@ -108,24 +115,24 @@ class Encoder:
         piece[n] = True
         return np.flatnonzero(piece)
 
-    def piece_ids(self, raw: bytes) -> list[int]:
+    def piece_ids(self, raw: bytes) -> np.ndarray:
         """Ids of one piece; a long one by halves."""
         if len(raw) <= LONG_PIECE:
-            return self.own._encode_single_piece(raw)
+            return np.array(self.own._encode_single_piece(raw), np.int32)
         half = len(raw) // 2
         return self.concatenate(self.piece_ids(raw[:half]), self.piece_ids(raw[half:]))
 
-    def concatenate(self, left: list[int], right: list[int]) -> list[int]:
+    def concatenate(self, left: Sequence[int], right: Sequence[int]) -> Sequence[int]:
         """Ids of the bytes of left and right as one piece. A window around the join is encoded again; once it
         begins with left's id and ends with right's id at its rims, every two neighbouring ids are as in an
         encoding of their own, which makes the whole the encoding."""
         k = 4
         while True:
             a, b = min(k, len(left)), min(k, len(right))
-            raw = b"".join(self.word[t] for t in (*left[len(left) - a :], *right[:b]))
+            raw = b"".join(self.word[int(t)] for t in (*left[len(left) - a :], *right[:b]))
             window = self.own._encode_single_piece(raw)
             if (a == len(left) or window[0] == left[-a]) and (b == len(right) or window[-1] == right[b - 1]):
-                return [*left[: len(left) - a], *window, *right[b:]]
+                return np.concatenate([left[: len(left) - a], window, right[b:]]).astype(np.int32)
             k *= 2
 
     # texts
@@ -150,10 +157,15 @@ class Encoder:
             for j in np.flatnonzero(found < 0).tolist():
                 p = missing[where[j]]
                 raw = codes[first[p] : last[p]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-                found[j] = self.learn(int(new[j]), self.piece_ids(raw))
+                found[j] = self.learn(int(new[j]), self.piece_ids(raw), codes[first[p] : last[p]])
             at[missing] = found[back]
             self.slot_key[(new >> np.uint64(44)).astype(np.int64)] = new
             self.slot_at[(new >> np.uint64(44)).astype(np.int64)] = found
+        if not self.same_pieces(codes, first, last, at):  # two pieces with one hash: none is looked up
+            own = [self.piece_ids(codes[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for a, b in zip(first, last)]
+            count, ids = np.array([len(x) for x in own], np.int64), np.concatenate(own).astype(np.int32)
+            done = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(first, np.cumsum(lengths), side="left")]
+            return ids, np.diff(np.concatenate([[0], done])), (first, count)
         count = self.count[at].astype(np.int64)
         total = np.cumsum(count)
         ids = self.pool[np.repeat(self.offset[at] - (total - count), count) + np.arange(total[-1])]
@@ -164,11 +176,23 @@ class Encoder:
             self.forget()
         return ids, counts, (first, count)
 
-    def learn(self, key: int, ids: list[int]) -> int:
+    def same_pieces(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> bool:
+        """Whether the pieces, which make up all of codes, are the very ones that were learnt."""
+        size = last - first
+        if (self.text_size[at] != size).any():
+            return False
+        return bool((self.text[np.repeat(self.text_at[at] - first, size) + np.arange(len(codes))] == codes).all())
+
+    def learn(self, key: int, ids: Sequence[int], codes: np.ndarray) -> int:
         at = len(self.index)
         self.index[key] = at
         if at >= len(self.offset):
-            self.offset, self.count = np.concatenate([self.offset, np.zeros_like(self.offset)]), np.concatenate([self.count, np.zeros_like(self.count)])
+            self.offset, self.count, self.text_at, self.text_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.count, self.text_at, self.text_size))
+        while self.text_used + len(codes) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text_at[at], self.text_size[at] = self.text_used, len(codes)
+        self.text[self.text_used : self.text_used + len(codes)] = codes
+        self.text_used += len(codes)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.offset[at], self.count[at] = self.used, len(ids)
@@ -197,61 +221,66 @@ class Encoder:
         values = np.concatenate(ids) if ids else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
-    # parts of one long text
+    # parts of one long text: (text, piece starts, ids per piece, ids)
 
-    def part(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """(piece starts, ids per piece, ids) of a part, scanned as if the text began and ended with it."""
+    def part(self, text: str) -> Part:
+        """A part scanned as if the text began and ended with it."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         ids, _, (first, count) = self.encode_pieces(codes, np.array([len(codes)]))
-        return first.tolist(), count.tolist(), ids.tolist()
-
-    def join_parts(self, parts: list[tuple[str, list[int], list[int], list[int]]]) -> list[int]:
-        """Ids of the text whose parts, in order, are (text, piece starts, ids per piece, ids).
-
-        A piece start inside a part holds for the whole text; the last piece of a part may go on in the next.
-        So the pieces are found again from there, over more and more of the next part, until a start of the
-        window is also a start of that part: from there on both agree.
-        """
-        text, starts, counts, ids = parts[0]
-        done: list[int] = []
-        for after in parts[1:]:
-            last = -2 if len(starts) > 1 and text[starts[-1] - 1] == "'" else -1  # 'r may go on as 're
-            tail, kept = text[starts[last] :], sum(counts[last:])
-            held = ids[len(ids) - kept :]
-            done.extend(ids[: len(ids) - kept])
-            text_b, starts_b, counts_b, ids_b = after
-            known = {s: k for k, s in enumerate(starts_b)}
-            look = 64 if len(starts_b) > 1 else len(text_b)
-            while True:
-                whole = look >= len(text_b)
-                first, count, window = self.window(tail, text_b[:look], held, starts_b, counts_b, ids_b)
-                meet = next((k for k, s in enumerate(first[:-1]) if s - len(tail) in known and s > len(tail)), None)
-                if meet is not None:
-                    break
-                if whole:  # the next part belongs to the window as a whole: its last piece stays open
-                    break
-                look *= 4
-            if meet is None:
-                text, starts, counts, ids = tail + text_b, first, count, window
-            else:
-                at = first[meet] - len(tail)
-                done.extend(window[: sum(count[:meet])])
-                k = known[at]
-                text, starts, counts, ids = text_b[at:], [s - at for s in starts_b[k:]], counts_b[k:], ids_b[sum(counts_b[:k]) :]
-        return done + ids
-
-    def window(self, tail: str, head: str, held: list[int], starts_b: list[int], counts_b: list[int], ids_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+        return text, first.astype(np.int32), count.astype(np.int32), ids
+
+    def join_parts(self, parts: list[Part]) -> Part:
+        """The part that neighbouring parts, in order, make together: pairs of them, then pairs of pairs."""
+        while len(parts) > 1:
+            parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def join(self, a: Part, b: Part) -> Part:
+        """A piece start inside a part holds for the whole text; the last piece of a part may go on in the next. So the
+        pieces are found again from there, over more and more of the next part, until a start of the window is also a
+        start of that part: from there on both agree."""
+        text, starts, counts, ids = a
+        text_b, starts_b, counts_b, ids_b = b
+        if not text or not text_b:
+            return b if not text else a
+        last = -2 if len(starts) > 1 and text[starts[-1] - 1] == "'" else -1  # 'r may go on as 're
+        open_ = int(starts[last])
+        tail, kept = text[open_:], int(counts[last:].sum())
+        held = ids[len(ids) - kept :]
+        look, meet = 64 if len(starts_b) > 1 else len(text_b), None
+        while True:
+            _, first, count, window = self.window(tail, text_b[:look], held, starts_b, counts_b, ids_b)
+            spot = first[:-1] - len(tail)
+            inside = np.flatnonzero(spot > 0)
+            found = inside[np.isin(spot[inside], starts_b, assume_unique=True)]
+            if len(found):
+                meet = int(found[0])
+                break
+            if look >= len(text_b):  # the next part belongs to the window as a whole: its last piece stays open
+                break
+            look *= 4
+        head = [starts[: len(starts) + last], counts[: len(counts) + last], ids[: len(ids) - kept]]
+        if meet is None:
+            new = [first + open_, count, window]
+        else:
+            k = int(np.searchsorted(starts_b, spot[meet]))
+            new = [
+                np.concatenate([first[:meet] + open_, starts_b[k:] + len(text)]), np.concatenate([count[:meet], counts_b[k:]]), np.concatenate([window[: int(count[:meet].sum())], ids_b[int(counts_b[:k].sum()) :]])
+            ]
+        return (text + text_b, *(np.concatenate([x, y]).astype(np.int32) for x, y in zip(head, new)))
+
+    def window(self, tail: str, head: str, held: np.ndarray, starts_b: np.ndarray, counts_b: np.ndarray, ids_b: np.ndarray) -> Part:
         """Pieces of tail + head; a first piece that is the tail and the next part's first piece joins their ids."""
         text = tail + head
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         cut = self.starts(codes, np.array([len(codes)]))
-        stop = len(tail) + (starts_b[1] if len(starts_b) > 1 else len(head))
+        stop = len(tail) + (int(starts_b[1]) if len(starts_b) > 1 else len(head))
         if int(cut[1]) == stop and stop > LONG_PIECE and (len(starts_b) == 1 or len(cut) > 2):
-            joined = self.concatenate(held, ids_b[: counts_b[0]])
+            joined = np.array(self.concatenate(held, ids_b[: int(counts_b[0])]), np.int32)
             if stop == len(text):
-                return [0], [len(joined)], joined
-            first, count, ids = self.part(text[stop:])
-            return [0, *(s + stop for s in first)], [len(joined), *count], [*joined, *ids]
+                return text, np.zeros(1, np.int32), np.array([len(joined)], np.int32), joined
+            _, first, count, ids = self.part(text[stop:])
+            return text, np.concatenate([[0], first + stop]), np.concatenate([[len(joined)], count]), np.concatenate([joined, ids])
         return self.part(text)
 
 
@@ -274,16 +303,20 @@ def _whole(ranks_file: bytes):
     return run
 
 
-def _parts(ranks_file: bytes):
-    names = ["doc_id", "part", "piece", "starts", "counts", "ids"]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+PART_SCHEMA = "doc_id long, part int, piece string, starts array<int>, counts array<int>, ids array<int>"
 
+
+def _part_table(rows: list[tuple[int, int, Part]]) -> pa.RecordBatch:
+    lists = [pa.array([r[2][k] for r in rows], pa.list_(pa.int32())) for k in (1, 2, 3)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2][0] for r in rows], pa.string()), *lists], names=["doc_id", "part", "piece", "starts", "counts", "ids"])
+
+
+def _parts(ranks_file: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_file)
         for batch in batches:
-            rows = [own.part(t) for t in batch.column("piece").to_pylist()]
-            columns = [batch.column("doc_id"), batch.column("part"), batch.column("piece"), *([r[k] for r in rows] for k in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c.cast(k) for c, k in zip(columns, kinds)], names=names)
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("piece").to_pylist())
+            yield _part_table([(d, p, own.part(t)) for d, p, t in rows])
 
     return run
 
@@ -291,24 +324,31 @@ def _parts(ranks_file: bytes):
 def _join(ranks_file: bytes):
     def run(table: pa.Table) -> pa.Table:
         own = encoder(ranks_file)
-        rows = sorted(table.select(["part", "piece", "starts", "counts", "ids"]).to_pylist(), key=lambda r: r["part"])
-        ids = own.join_parts([(r["piece"], r["starts"], r["counts"], r["ids"]) for r in rows])
-        return pa.table([table.column("doc_id").slice(0, 1), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        table = table.sort_by("part")
+        lists = [[x.values.to_numpy() for x in table.column(c)] for c in ("starts", "counts", "ids")]
+        joined = own.join_parts(list(zip(table.column("piece").to_pylist(), *lists)))
+        return pa.Table.from_batches([_part_table([(table.column("doc_id")[0].as_py(), table.column("part")[0].as_py() // FAN_IN, joined)])])
 
     return run
 
 
 def encode_documents(docs: DataFrame, ranks_path: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
-    """(doc_id, ids) for every row of docs(doc_id, text); other columns are ignored. doc_id is unique."""
+    """(doc_id, ids) for every row of docs(doc_id, text); other columns are ignored. doc_id is unique. The parts of a long
+    text are joined level by level, FAN_IN neighbours a task."""
     ranks_file = open(ranks_path or vocabulary_path(), "rb").read()  # under 1 MB whatever the corpus is
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > part_chars
     whole = docs.where(~long).mapInArrow(_whole(ranks_file), "doc_id long, ids array<int>")
+    longest = docs.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
     size = F.length("text")
     cuts = F.sequence(F.lit(0), ((size - 1) / part_chars).cast("int"))
     parts = (
         docs.where(long).select("doc_id", F.posexplode(F.transform(cuts, lambda k: F.substring("text", k * part_chars + 1, F.lit(part_chars)))).alias("part", "piece"))
         .repartition("doc_id", "part")
-        .mapInArrow(_parts(ranks_file), "doc_id long, part int, piece string, starts array<int>, counts array<int>, ids array<int>")
+        .mapInArrow(_parts(ranks_file), PART_SCHEMA)
     )
-    return whole.unionByName(parts.groupBy("doc_id").applyInArrow(_join(ranks_file), "doc_id long, ids array<int>"))
+    n = -(-longest // part_chars)
+    while n > 1:
+        parts = parts.groupBy("doc_id", F.floor(F.col("part") / FAN_IN).alias("level")).applyInArrow(_join(ranks_file), PART_SCHEMA)
+        n = -(-n // FAN_IN)
+    return whole.unionByName(parts.select("doc_id", "ids"))
