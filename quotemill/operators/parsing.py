@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotemill import patterns as P
-from quotemill.operators import adjustments, grouping, lines
+from quotemill.operators import adjustments, classify, cleanup, filters, grouping, lines
 from quotemill.operators.numbers import cents, infer_quantity, once, with_tokens
 
 
@@ -100,6 +100,29 @@ def parse_quotes(docs: DataFrame) -> DataFrame:
     return items_of(item_lines(docs))
 
 
+def live_items(docs: DataFrame) -> DataFrame:
+    """Items by the whole chain of steps: glyph numbers and misread digits put right, continued rows joined, summary, address
+    and contact lines out, rows without figures out, prices of the next lines taken in, and descriptions that the
+    classifier does not take for a product out."""
+    t = lines.preprocess(lines.lines_of(docs))
+    t = lines.merge_continuations(t).select("doc_id", "line_no", "line")
+    t = lines.candidates(t).where(~filters.is_address(F.col("line"))).select("doc_id", "line_no", "line")
+    items = items_of(lines.look_ahead(t).select("doc_id", "line_no", "line"))
+    scored = classify.item_score(classify.features(items.withColumn("line", F.col("description")))).where("is_item")
+    return scored.select("doc_id", "line_no", cleanup.final_description(F.col("description")).alias("description"), "quantity", "unit_price", "cost")
+
+
+def as_results(items: DataFrame, adjustments_: DataFrame) -> DataFrame:
+    """(doc_id, quantity, unit_price, total_price, n_items, total, default_item): all items of a document as one group; a
+    document with a stated total only becomes one item of that amount."""
+    group = items.groupBy("doc_id").agg(F.sum("quantity").alias("quantity"), F.round(F.sum("unit_price"), 2).alias("unit_price"), F.round(F.sum("cost"), 2).alias("total_price"), F.count(F.lit(1)).alias("n_items"))
+    total = adjustments_.where("kind = 'total'").groupBy("doc_id").agg(F.max_by("value", "line_no").alias("total"))
+    t = group.join(total, "doc_id", "full")
+    alone = F.col("n_items").isNull()
+    amount = lambda c: F.coalesce(c, F.col("total"))
+    return t.select("doc_id", F.coalesce("quantity", F.lit(1)).alias("quantity"), amount("unit_price").alias("unit_price"), amount("total_price").alias("total_price"), F.coalesce("n_items", F.lit(1)).alias("n_items"), amount("total").alias("total"), alone.alias("default_item"))
+
+
 def summarize(docs: DataFrame) -> DataFrame:
     """(doc_id, total_quantity, total_unit_price_sum, total_cost, number_of_groups) of every document with items."""
     return grouping.totals(grouping.by_quantity(parse_quotes(docs)))

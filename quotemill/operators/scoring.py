@@ -38,3 +38,41 @@ def totals_agree(items: DataFrame, stated: DataFrame, slack: float = 1.0) -> Dat
     sums = items.groupBy("doc_id").agg(F.sum("cost").alias("item_cost"))
     t = stated.join(sums, "doc_id", "left")
     return t.select("doc_id", F.coalesce("item_cost", F.lit(0.0)).alias("item_cost"), "stated_cost", (F.abs(F.coalesce("item_cost", F.lit(0.0)) - F.col("stated_cost")) <= slack).alias("agrees"))
+
+
+def confidence(items: DataFrame, stated: DataFrame) -> DataFrame:
+    """(doc_id, n_items, confidence) of every document of stated(doc_id, stated_cost): 40 for items, more for several, for a
+    total of ordinary size, for items that add up to it, and 5 a description with letters up to 20; at most 100."""
+    described = (F.length("description") > 3) & F.col("description").rlike("[A-Za-z]")
+    sums = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("cost").alias("cost"), F.sum(F.when(described, 5).otherwise(0)).alias("described"))
+    t = stated.join(sums, "doc_id", "left").withColumns({"n_items": F.coalesce("n_items", F.lit(0)), "described": F.coalesce("described", F.lit(0))})
+    n = F.col("n_items")
+    score = F.when(n > 0, 40).otherwise(0) + F.when(n > 1, 20).otherwise(0) + F.when(n > 3, 10).otherwise(0) + F.when(F.col("stated_cost").between(0.01, 1000000), 20).otherwise(0)
+    score = score + F.when(F.abs(F.coalesce("cost", F.lit(0.0)) - F.coalesce("stated_cost", F.lit(0.0))) <= 1.0, 30).otherwise(0) + F.least(F.col("described"), F.lit(20))
+    return t.select("doc_id", "n_items", F.least(score, F.lit(100)).cast("int").alias("confidence"))
+
+
+def item_confidence(description: Column, quantity: Column, unit_price: Column, cost: Column) -> Column:
+    """Hundredths: 50, more for figures that agree, a description with letters, and ordinary sizes; at most 100, and 30
+    without all three numbers."""
+    sums = F.when(F.abs(quantity * unit_price - cost) <= 0.0100001, 30).otherwise(0)
+    size = F.when(unit_price.between(0.01, 100000) & quantity.between(0.1, 10000), 20).otherwise(0)
+    text = F.when((F.length(description) > 5) & description.rlike(r"\p{L}"), 20).otherwise(0)
+    return F.when(quantity.isNull() | unit_price.isNull() | cost.isNull(), 30).otherwise(F.least(50 + sums + size + text, F.lit(100)))
+
+
+def recomputed_price(quantity: Column, unit_price: Column, cost: Column) -> Column:
+    """cost / quantity where the stated price is missing, 0 or more than a cent off; else the stated one."""
+    implied = F.when((quantity > 0) & (cost > 0), F.bround(cost / quantity, 2))
+    far = unit_price.isNull() | (unit_price == 0) | (F.abs(unit_price - cost / F.when(quantity > 0, quantity)) > 0.01)
+    return F.when(implied.isNotNull() & far, implied).otherwise(unit_price)
+
+
+def term_weights(texts: DataFrame) -> DataFrame:
+    """(item_id, term, tf, idf) of texts(item_id, description): how often a term stands in a text, and the logarithm of how
+    rare it is over all of them. Terms are runs of two letters or digits and more, in small letters."""
+    terms = texts.select("item_id", F.explode(F.regexp_extract_all(F.lower("description"), F.lit(r"[\p{L}\p{N}]{2,}"), 0)).alias("term"))
+    tf = terms.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = texts.where(F.col("description").isNotNull()).count()
+    return tf.join(df, "term").select("item_id", "term", "tf", F.round(F.log((total + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))

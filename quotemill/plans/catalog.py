@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import data_quality, quotes
+from quotemill.plans import data_quality, line_rules, quotes  # noqa: F401  line_rules registers its queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 

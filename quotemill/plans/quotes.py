@@ -222,10 +222,13 @@ def _noise_oracle() -> str:
     parts += [f"CASE WHEN regexp_matches(lower(line), {literal(p)}) THEN 9 ELSE 0 END" for p in classify.METADATA_NOISE]
     parts += [f"CASE WHEN 10 * {MARKS.format('line')} > 3 * length(line) THEN 6 ELSE 0 END", "CASE WHEN 2 * (length(line) - length(regexp_replace(line, '[0-9]', '', 'g'))) > length(line) THEN 4 ELSE 0 END"]
     parts += ["CASE WHEN length(trim(line, ' ')) < 10 THEN 2 WHEN length(trim(line, ' ')) > 200 THEN 3 ELSE 0 END"]
-    return f"WITH {LINES}, w AS (SELECT *, {WORDS.format('line')} AS w FROM l) SELECT doc_id, line_no, (CASE WHEN length(line) = 0 THEN 10 ELSE {' + '.join(parts)} END)::INTEGER AS noise FROM w"
+    return f"(CASE WHEN length(line) = 0 THEN 10 ELSE {' + '.join(parts)} END)::INTEGER"
 
 
-@query("line_noise_score", _noise_oracle())
+NOISE = _noise_oracle()
+
+
+@query("line_noise_score", f"WITH {LINES}, w AS (SELECT *, {WORDS.format('line')} AS w FROM l) SELECT doc_id, line_no, {NOISE} AS noise FROM w")
 def _(s, d):
     return doc_lines(s, d).select("doc_id", "line_no", classify.noise_score(F.col("line")).alias("noise"))
 
