@@ -1,4 +1,5 @@
-"""Command line: `python -m quotemill parse DOCUMENTS.parquet OUT` or `python -m quotemill info DOCUMENTS.parquet`."""
+"""Command line: `python -m quotemill parse DOCUMENTS.parquet OUT`, `... print DOCUMENTS.parquet` (JSON to standard output,
+a document a line) or `... info DOCUMENTS.parquet`."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from quotemill.sources import sinks
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="quotemill")
-    parser.add_argument("command", choices=["parse", "info"])
+    parser.add_argument("command", choices=["parse", "print", "info"])
     parser.add_argument("documents", help="Parquet with doc_id and text")
     parser.add_argument("out", nargs="?", help="folder for JSON results")
     args = parser.parse_args()
@@ -22,6 +23,9 @@ def main() -> None:
     docs = spark.read.parquet(args.documents).select("doc_id", "text")
     if args.command == "parse":
         sinks.write_json(parsing.results(docs), args.out or "results_parsed")
+    elif args.command == "print":
+        for row in sinks.as_json(parsing.results(docs)).select("json").toLocalIterator():  # one partition at a time
+            print(row["json"])
     else:
         sinks.overview(parsing.parse_quotes(docs)).show(truncate=False)
 

@@ -13,11 +13,18 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+RUN = 256  # tokens whose lengths are added up one by one; longer lines go by runs of so many
+
+
 def with_tokens(df: DataFrame, name: str, text: str, pattern: str) -> DataFrame:
-    """Adds an array of (start, raw) of all matches; start counts from 0. The text between matches gives the places."""
+    """Adds an array of (start, raw) of all matches; start counts from 0. The text between matches gives the places: the
+    lengths of all runs of tokens before, and of the tokens before in the same run."""
     m = once(df, "_m", F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"), F.split(text, pattern, -1).alias("between")))
-    before = lambda i: F.aggregate(F.slice("_m.between", F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("_m.raw", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
-    return once(m, name, F.transform("_m.raw", lambda x, i: F.struct(before(i).alias("start"), x.alias("raw")))).drop("_m")
+    m = once(m, "_l", F.zip_with("_m.raw", F.slice("_m.between", F.lit(1), F.size("_m.raw")), lambda r, b: F.length(r) + F.length(b)))
+    total = lambda start, n: F.aggregate(F.slice("_l", start, n), F.lit(0), lambda s, x: s + x)
+    m = once(m, "_o", F.transform(F.sequence(F.lit(0), F.floor(F.size("_l") / RUN).cast("int")), lambda k: total(F.lit(1), k * RUN)))
+    start = lambda i: F.get("_o", F.floor(i / RUN).cast("int")) + total(F.floor(i / RUN).cast("int") * RUN + 1, i % RUN) + F.length(F.get("_m.between", i))
+    return once(m, name, F.transform("_m.raw", lambda x, i: F.struct(start(i).alias("start"), x.alias("raw")))).drop("_m", "_l", "_o")
 
 
 def number_tokens(lines: DataFrame, context: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quotemill import patterns as P
 from quotemill.operators import adjustments, cleanup, descriptions, filters, grouping, lines, numbers, parsing, prices, scoring
 from quotemill.plans import money_sql
-from quotemill.plans.quotes import LINES, NOISE, TRIMMED, WORDS, doc_lines, docs, literal, query, table, typed_items
+from quotemill.plans.quotes import LINES, NOISE, ORACLE, PARSED, TRIMMED, WORDS, _adjustment_sql, doc_lines, docs, literal, query, table, typed_items
 
 
 def trimmed(s, d):
@@ -384,3 +384,36 @@ def _(s, d):
 @query("normalized_items", None)
 def _(s, d):
     return parsing.parse_quotes(docs(s, d)).select("doc_id", "line_no", lines.clean_description(descriptions.expand(F.col("description"))).alias("description"), "quantity", "unit_price", "cost")
+
+
+# queries of plans.quotes whose SQL needs the places of tokens
+
+ORACLE["number_places"] = f"""WITH {LINES}, k AS ({placed(f'({P.NUMBER})', 'doc_id, line_no, line', 'l')}) SELECT doc_id, line_no, place, start, raw, substr(line, start, 1) IN ('$', '€') AND start > 0 AS is_money, regexp_matches({near('start', 'length(raw)', 10)}, 'qty|quantity|pcs|each|ea') AS is_quantity FROM k"""
+
+QUANTITY = [r"(?i)(?:qty|quantity|amount|count):\s*(\d+)", r"(?i)(?:qty|quantity|amount|count)\s+(\d+)", r"(?i)(\d+)\s*(?:pieces?|units?|ea|each|pcs)", r"^(\d+)\s+", r"(\d+)\s*[×x]", r"(\d+)\s*@", r"(\d+)\s*\$"]
+_first = ", ".join(f"CASE WHEN try_cast(nullif(regexp_extract(line, {literal(p)}, 1), '') AS BIGINT) BETWEEN 1 AND 10000 THEN regexp_extract(line, {literal(p)}, 1)::BIGINT END" for p in QUANTITY)
+ORACLE["flexible_quantity"] = f"""WITH {LINES} SELECT doc_id, line_no, coalesce({_first}, list_filter(list_transform(list_filter(regexp_extract_all(line, '[\\pL\\pN_]+'), lambda w: regexp_full_match(w, '\\d+')), lambda w: try_cast(w AS BIGINT)), lambda v: v BETWEEN 1 AND 1000)[1], 1)::INTEGER AS quantity FROM l"""
+
+_FIXED = f"array_to_string(list_transform({WORDS.format('b')}, lambda w: CASE WHEN regexp_full_match(w, '[$0-9.,\\-OlI§S]+') THEN translate(w, 'OlIS§', '01155') ELSE w END), ' ')"
+ORACLE["preprocessed_lines"] = f"""WITH {TRIMMED}, w AS (SELECT *, {WORDS.format('line')} AS w FROM t WHERE line <> ''), k AS (SELECT doc_id, line_no, line FROM w WHERE NOT (len(w) > 0 AND 2 * len(list_filter(w, lambda x: contains(x, 'cid:'))) > len(w))),
+ c AS (SELECT doc_id, line_no, CASE WHEN contains(line, 'cid:') THEN trim(regexp_replace(regexp_replace(line, '\\bcid:\\d+\\s*', ' ', 'g'), '\\s+', ' ', 'g'), ' ') ELSE line END AS b0, contains(line, 'cid:') AS had FROM k), e AS (SELECT doc_id, line_no, CASE WHEN had AND regexp_full_match(b0, '[:\\s.,\\-]+') THEN '' ELSE b0 END AS b FROM c),
+ f AS (SELECT doc_id, line_no, {_FIXED} AS line FROM e), n AS (SELECT *, regexp_extract_all(line, '[\\d,]+\\.?\\d*') AS x FROM f), p AS (SELECT *, instr(line, x[1]) AS pos FROM n)
+ SELECT doc_id, line_no, CASE WHEN len(x) = 2 AND contains(line, '$') AND try_cast(replace(x[1], ',', '') AS DOUBLE) = try_cast(replace(x[2], ',', '') AS DOUBLE) AND pos > 1 AND substr(line, pos - 1, 1) IN (' ', '-') THEN substr(line, 1, pos - 1) || '1 ' || substr(line, pos) ELSE line END AS line FROM p"""
+
+ORACLE["column_detection"] = f"""WITH {LINES}, k AS ({placed('([ \\t\\n\\v\\f\\r]{2,})'.replace(chr(92) * 2, chr(92)), 'doc_id, line_no, line', 'l')}), c AS (SELECT doc_id, start AS position, count(*) AS n_lines, min(line_no) AS seen FROM k GROUP BY 1, 2),
+ r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n_lines DESC, seen, position))::INTEGER AS place FROM c) SELECT doc_id, position, n_lines, place FROM r WHERE place <= 5 AND n_lines >= 3"""
+
+_CENTS = "list_transform(x, lambda y: CASE WHEN regexp_matches(y, '[.,]\\d{2}$') THEN regexp_replace(y, '[.,]', '', 'g') ELSE regexp_replace(y, '[.,]', '', 'g') || '00' END::DOUBLE)"
+_ORDERS = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")]
+_FIT = " ".join(f"WHEN {q} BETWEEN 10 AND 1000000 AND {p} > 0 AND {z} > 0 AND 90 * {z} <= {q} * {p} AND {q} * {p} <= 110 * {z} THEN [{q}, {p}, {z}]" for q, p, z in _ORDERS)
+ORACLE["permutation_match"] = f"""WITH {LINES}, x AS (SELECT doc_id, line_no, regexp_extract_all(line, {literal(P.TOKEN)}) AS x FROM l), v AS (SELECT doc_id, line_no, {_CENTS} AS v FROM x WHERE len(x) >= 3),
+ i AS (SELECT *, unnest(range(1, len(v) - 1)) AS i FROM v), j AS (SELECT *, unnest(range(i + 1, len(v))) AS j FROM i), k AS (SELECT doc_id, line_no, i, j, k, v[i] AS a, v[j] AS b, v[k] AS c FROM (SELECT *, unnest(range(j + 1, len(v) + 1)) AS k FROM j)),
+ h AS (SELECT doc_id, line_no, CASE {_FIT} END AS hit, i, j, k FROM k), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i, j, k) AS n FROM h WHERE hit IS NOT NULL)
+ SELECT doc_id, line_no, hit[1] / 100 AS quantity, hit[2] / 100 AS unit_price, hit[3] / 100 AS cost FROM f WHERE n = 1"""
+
+ORACLE["unread_amounts"] = f"""WITH {money_sql.ITEMS}, q AS (SELECT item_id, doc_id, quantity, unit_price, cost, price_usd, total_usd, CASE WHEN n >= 0 AND n < 1e9 AND n = floor(n) THEN n END AS n FROM quote_items JOIN usd USING (item_id, doc_id))
+ SELECT item_id, doc_id, 'quantity' AS field, quantity AS text FROM q WHERE trim(quantity, ' ') <> '' AND n IS NULL UNION ALL SELECT item_id, doc_id, 'unit_price', unit_price FROM q WHERE trim(unit_price, ' ') <> '' AND price_usd IS NULL UNION ALL SELECT item_id, doc_id, 'cost', cost FROM q WHERE trim(cost, ' ') <> '' AND total_usd IS NULL"""
+
+ORACLE["template_results"] = f"""WITH {_adjustment_sql()}, t AS (SELECT doc_id, line_no, trim(line, ' ') AS line FROM l), {PARSED}, g AS (SELECT doc_id, sum(quantity)::BIGINT AS quantity, round(sum(unit_price), 2) AS unit_price, round(sum(cost), 2) AS total_price, count(*) AS n FROM items GROUP BY 1),
+ z AS (SELECT doc_id, arg_max(value, line_no) AS total FROM a WHERE kind = 'total' GROUP BY 1)
+ SELECT doc_id, coalesce(quantity, 1) AS quantity, coalesce(unit_price, total) AS unit_price, coalesce(total_price, total) AS total_price, coalesce(n, 1) AS n_items, coalesce(total, total) AS total, n IS NULL AS default_item FROM g FULL JOIN z USING (doc_id)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: bytes of a file -> its pages' texts; an extractor that cannot read a file returns no pages.
 Extractor = Callable[[bytes], list[str]]
+WORD = r"[\p{L}\p{N}]+"
 PAGES = "path string, extractor string, page_no int, text string"
 
 
@@ -72,7 +73,11 @@ def first_long_enough(pages: DataFrame, order: list[str], least: int = 100) -> D
 
 def by_template(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, issuer, field, value) for templates(issuer, keyword, field, pattern): the first group of each pattern in the
-    documents that hold the issuer's keyword. Templates are few and go to every task if Spark finds them small."""
-    hits = docs.join(templates, F.contains(F.lower("text"), F.lower("keyword")))
+    documents that hold the issuer's keyword. Documents and templates meet by the keyword's first word."""
+    first = F.element_at(F.regexp_extract_all(F.lower("keyword"), F.lit(WORD), 0), 1)
+    keyed = templates.select(first.alias("w"), "issuer", "keyword", "field", "pattern").where("w is not null")
+    words = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("w"))
+    held = words.join(keyed.select("w").distinct(), "w", "left_semi")
+    hits = held.join(docs, "doc_id").join(keyed, "w").where(F.contains(F.lower("text"), F.lower("keyword")))
     value = F.expr("regexp_extract(text, pattern, 1)")
-    return hits.select("doc_id", "issuer", "field", F.nullif(value, F.lit("")).alias("value")).where("value is not null")
+    return hits.select("doc_id", "issuer", "field", F.nullif(value, F.lit("")).alias("value")).where("value is not null").distinct()

@@ -21,5 +21,8 @@ def write_parquet(results: DataFrame, path: str, by: list[str] | None = None) ->
 
 
 def overview(items: DataFrame) -> DataFrame:
-    """One row: documents, items and their cost."""
-    return items.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("items"), F.round(F.sum("cost"), 2).alias("total_cost"))
+    """One row: documents, groups (by quantity), items, their quantity and their cost."""
+    groups = items.groupBy("doc_id", "quantity").agg(F.count(F.lit(1)).alias("items"), F.sum("cost").alias("cost"))
+    return groups.agg(
+        F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("groups"), F.sum("items").alias("items"), F.sum(F.coalesce("quantity", F.lit(1)).cast("long") * F.col("items")).alias("total_quantity"), F.round(F.sum("cost"), 2).alias("total_cost")
+    )
