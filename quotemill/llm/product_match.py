@@ -48,6 +48,8 @@ CELL_ROWS = 2000
 TILE = 1 << 16
 SHARD_ROWS = 20_000
 HOT = 20_000
+#: So many hot cells and sizes (16 bytes each) go to every task; more of them are joined by a shuffle.
+MOST_HOT = 100_000
 
 
 def place(feature: str, two: bool = False) -> int:
@@ -209,16 +211,20 @@ def cells_of(points: np.ndarray, middle: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS) -> int:
-    """The fewest probes, up to all cells, with which at least RECALL of the exact neighbours within the radius are found."""
+def tuned_probes(points: np.ndarray, middle: np.ndarray, radius: float = RADIUS, sizes: np.ndarray | None = None) -> int:
+    """The fewest probes, up to all cells, with which at least RECALL of the exact neighbours within the radius are found;
+    where sizes are given, of those that are of one size, for others are vetoed."""
     index = cells_of(points, middle, 1)[:, 0]
-    asked = np.arange(0, len(points), 50)
+    asked = np.arange(0, len(points), max(1, len(points) // 2000))
     square = (points * points).sum(1)
     want = []
     for a in range(0, len(asked), 256):
         some = asked[a : a + 256]
         near = square[some, None] + square - 2 * points[some] @ points.T <= radius
         near[np.arange(len(some)), some] = False
+        if sizes is not None:
+            for k in range(sizes.shape[1]):
+                near &= np.abs(sizes[some, k, None] - sizes[:, k]) <= TOLERANCE
         q, hit = np.nonzero(near)
         want.append(np.stack([some[q], hit], 1))
     want = np.concatenate(want) if want else np.empty((0, 2), np.int64)
@@ -253,8 +259,8 @@ def fit(listings: DataFrame) -> tuple[Encoder, np.ndarray, int, int]:
     sample = [*rows, *(r for r in parsed(plain) if r[0])]
     points = encoder.encode([r[2] for r in sample])
     middle = centroids(points, max(1, min(total // CELL_ROWS, len(points) // 20)))
-    without = points[len(rows) :]
-    return encoder, middle, max(tuned_probes(p, middle) for p in (points, without)), total
+    sizes = np.array([r[0] for r in sample]).reshape(-1, 3)
+    return encoder, middle, max(tuned_probes(points[a:], middle, sizes=sizes[a:]) for a in (0, len(rows))), total
 
 
 ENTRY = "cell int, bucket long, home boolean, text_id long, code string, numbers string, sizes binary, vector binary"
@@ -332,7 +338,11 @@ def blocked(entries: DataFrame, hot: int) -> DataFrame:
     """entries with block and pair: those of a (cell, bucket) with more than `hot` of them fall into blocks, and every two
     blocks meet under a pair of their own; the others are one block, 0. Nothing is dropped."""
     many = entries.groupBy("cell", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    many = many.select(F.col("cell").alias("c"), F.col("bucket").alias("b"), F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    many = materialise(many.select(F.col("cell").alias("c"), F.col("bucket").alias("b"), F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "hot")
+    n = many.count()
+    if n == 0:
+        return entries.withColumns({"block": F.lit(0), "pair": F.lit(0)})
+    many = F.broadcast(many) if n <= MOST_HOT else many
     e = entries.join(many, (F.col("cell") == F.col("c")) & (F.col("bucket") == F.col("b")), "left").drop("c", "b").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     e = e.withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
     # the pair of blocks x <= y is x + y * blocks, but a block with itself is x
