@@ -43,7 +43,7 @@ GRID = 0.5  # mm, of the sum of dimensions
 NO_SIZE = -1  # the bucket of listings without three dimensions
 RADIUS = 1.1  # between pairs of one code (99.9 % under 0.11) and pairs of equal size with other codes (none under 1.49)
 FARTHER = 1.0  # a neighbour may be so much farther than the nearest one
-RECALL = 0.99
+RECALL = 0.999
 CELL_ROWS = 2000
 TILE = 1 << 16
 SHARD_ROWS = 20_000
