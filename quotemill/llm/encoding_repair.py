@@ -161,9 +161,9 @@ def places(gram: str) -> tuple[int, int]:
     return h & (BUCKETS - 1), BUCKETS + (h >> 14)
 
 
-def usable(word: str) -> list[tuple[str, dict]]:
+def usable(word: str, tables: list[tuple[str, dict]] | None = None) -> list[tuple[str, dict]]:
     """The garbled states that could have made some of the word's characters."""
-    return [(name, table) for name, table in states() if any(c in table and any(word.startswith(g, i) and (where != AT_END or i + len(g) == len(word)) for g, _, where in table[c]) for i, c in enumerate(word) if c > "\x7f")]
+    return [(name, table) for name, table in (states() if tables is None else tables) if any(c in table and any(word.startswith(g, i) and (where != AT_END or i + len(g) == len(word)) for g, _, where in table[c]) for i, c in enumerate(word) if c > "\x7f")]
 
 
 def whole(word: str, table: dict) -> tuple[str, list[tuple[int, int, str]]]:
@@ -189,6 +189,8 @@ class Model:
         self.counts = counts  # ORDERS x (TABLES * BUCKETS)
         self.total = max(1.0, float(counts[0].sum()) / TABLES)
         self.words = self.count("^^")
+        #: The states with the characters that the corpus holds at all; no likely path goes through another one.
+        self.tables = [(name, {k: own for k, v in table.items() if (own := [e for e in v if e[1] in ("", " ") or self.count(e[1])])}) for name, table in states()]
         self.log_p = lru_cache(maxsize=1 << 18)(self._log_p)
 
     def count(self, gram: str) -> float:
@@ -269,7 +271,7 @@ class Model:
         own: how often the corpus holds the word; known: how often, in folded form, what it may stand for."""
         plain, _ = self.path(word, None)
         out: list[Reading] = []
-        for name, table in usable(word):
+        for name, table in usable(word, self.tables):
             enter = ENTER + USUAL * name.startswith("utf-8")
             score, spans = self.path(word, table, enter)
             decoded, all_spans = whole(word, table)
