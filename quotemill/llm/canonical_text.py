@@ -168,5 +168,5 @@ def lookalike_items(items: DataFrame) -> DataFrame:
     decoded wrongly are another problem's cases."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "description")
     dirty = materialise(items.where(F.col("description").rlike(encoding_repair.NOT_ASCII)).mapInArrow(_dirty_rows, "item_id long, description string"), "dirty")
-    labels = encoding_repair.labelled_words(items)[1]
+    labels = encoding_repair.labelled_words(items, encoding_repair.placed_words(dirty).select("word"))[1]
     return dirty.select("item_id").join(encoding_repair.garbled_ids(dirty, labels), "item_id", "left_anti")

@@ -475,9 +475,11 @@ def _labels(counts: np.ndarray):
     return run
 
 
-def labelled_words(texts: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """(the model's counts, LABELS of the distinct words that could be garbled; they are if gain > 0)."""
+def labelled_words(texts: DataFrame, asked: DataFrame | None = None) -> tuple[np.ndarray, DataFrame]:
+    """(the model's counts, LABELS of the distinct words that could be garbled; they are if gain > 0), of all words or of
+    those asked for (a column `word`)."""
     counts, known = train(texts)
+    known = known if asked is None else spread(known.join(asked.distinct(), "word", "left_semi"))
     return counts, materialise(known.mapInArrow(_labels(counts), LABELS), "labels")
 
 
