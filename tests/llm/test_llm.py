@@ -163,3 +163,39 @@ def test_probes_reach_neighbours_without_a_code_in_any_cell():
     middle = np.concatenate([np.array([[0.0, 0.0]]), np.stack([np.full(30, -0.1), np.linspace(-0.1, 0.1, 30)], 1), np.array([[0.9, 0.0]])]).astype(np.float32)
     points = np.array([[0.0, 0.0], [0.5, 0.0]], np.float32)
     assert product_match.tuned_probes(points, middle, radius=0.3) == 32
+
+
+def test_planted_encodings_are_put_right(spark):
+    clean = ["Gehäuse geprüfte Größe", "Façade grade plate", "Крон медный литой", "pièce détachée précisée", "Válvula de presión según muestra", "średnica żeliwna płyta"]
+    pairs = [("utf-8", w) for w in encoding_repair.MULTI] + list(encoding_repair.SINGLE)
+    rows, want = [c for c in clean for _ in range(60)], {}
+    for written, read in pairs:
+        for c in clean:
+            try:
+                garbled = encoding_repair.read_as(c.encode(written), read)
+            except UnicodeEncodeError:
+                continue
+            if garbled != c:
+                want[len(rows)] = c
+                rows.append(garbled)
+    rows += ["CANTONEIRA\xa0de", "class\xa02", "ﬁne ﬂange"]  # no garbled text
+    df = spark.createDataFrame(list(enumerate(rows)), "item_id long, description string")
+    got = {r["item_id"]: (r["restored"], r["garbled"]) for r in encoding_repair.repaired(df).collect()}
+    exact = sum(got[i][0] == c for i, c in want.items())
+    assert exact >= 0.95 * len(want), (exact, len(want))
+    assert not any(got[i][1] for i in range(len(rows)) if i not in want)
+
+
+def test_long_unsplit_text_is_encoded_exactly(spark, encoder):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc") for _ in range(400_000)), "word 's it " * 40_000]
+    got = {r["doc_id"]: r["ids"] for r in tokenize_corpus.encode_documents(docs(spark, texts)).collect()}
+    assert got == {i: list(encoder.concatenate(encoder.piece_ids(t.encode()[:200_000]), encoder.piece_ids(t.encode()[200_000:]))) if i == 0 else encoder.own.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_listings_without_sizes_and_hot_sizes(spark, monkeypatch):
+    monkeypatch.setattr(product_match, "HOT", 3)
+    monkeypatch.setattr(product_match, "FARTHER", 1e9)
+    rows = [(i, f"Acme bolt {word} 10 x 20 x 30 mm AB1234567") for i, word in enumerate(["new", "sale", "top", "best", "fine", "good", "nice", "neat"])] + [(8, "Acme bracket 40 x 20 mm"), (9, "sale Acme bracket 40 x 20 mm"), (10, "sale Acme bracket 41 x 20 mm")]
+    got = {tuple(r) for r in product_match.same_product(spark.createDataFrame(rows, "listing_id long, description string"), radius=1e9).collect()}
+    assert {(a, b) for a in range(8) for b in range(a + 1, 8)} | {(8, 9)} == got
