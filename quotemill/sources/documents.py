@@ -74,7 +74,7 @@ def first_long_enough(pages: DataFrame, order: list[str], least: int = 100) -> D
 def by_template(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, issuer, field, value) for templates(issuer, keyword, field, pattern): the first group of each pattern in the
     documents that hold the issuer's keyword. Documents and templates meet by the keyword's first word."""
-    first = F.element_at(F.regexp_extract_all(F.lower("keyword"), F.lit(WORD), 0), 1)
+    first = F.try_element_at(F.regexp_extract_all(F.lower("keyword"), F.lit(WORD), 0), F.lit(1))
     keyed = templates.select(first.alias("w"), "issuer", "keyword", "field", "pattern").where("w is not null")
     words = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("w"))
     held = words.join(keyed.select("w").distinct(), "w", "left_semi")
