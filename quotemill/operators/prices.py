@@ -101,15 +101,26 @@ def unit_price_of(cost: Column, quantity: Column) -> Column:
     return F.when(quantity > 0, F.bround(F.bround(cost.cast("decimal(18,2)") / quantity, 4), 2)).otherwise(0).cast("double")
 
 
+#: The same matches as P.STRUCTURED and P.STRUCTURED_NO_QUANTITY, in Java only and in time that grows with the line: all before
+#: the first sign of currency is one run of a description's characters, so a match can begin only where such a run does, or
+#: behind the match before; and the shortest description ends where blanks begin, or is one blank.
+IN_DESCRIPTION = r"[A-Za-z\s\-()0-9]"
+DESCRIBED = rf"(?:\G|(?<!{IN_DESCRIPTION})){IN_DESCRIPTION}+?(?:(?<!\s)|(?<=\G\s)|(?<=[^A-Za-z\s\-()0-9]\s))"
+AMOUNTS = rf"\s++{P.CURRENCY_SIGN}\d++[.,]\d{{2}}\s++{P.CURRENCY_SIGN}\d++(?:\.\d{{3}})?[.,]\d{{2}}"
+PAIR = rf"\s{P.CURRENCY_SIGN}\d++[.,]\d{{2}}\s++{P.CURRENCY_SIGN}\d"
+STRUCTURED_AT = rf"{DESCRIBED}\s++\d++{AMOUNTS}"
+STRUCTURED_NO_QUANTITY_AT = rf"{DESCRIBED}{AMOUNTS}"
+
+
 def structured_items(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, place, description, quantity, unit_price, cost): description, quantity and two amounts with a sign
     of currency; without a quantity it is what the amounts make it. A line may hold several."""
-    t = lines.select("doc_id", "line_no", F.trim("line").alias("line"))
-    group = lambda p, k: F.regexp_extract_all("line", F.lit(p), k)
-    full = F.arrays_zip(*(group(P.STRUCTURED, k).alias(n) for k, n in ((1, "d"), (2, "q"), (3, "p"), (4, "t"))))
-    part = F.arrays_zip(*(group(P.STRUCTURED_NO_QUANTITY, k).alias(n) for k, n in ((1, "d"), (2, "p"), (3, "t"))))
-    t = once(t, "f", full)
-    t = once(t, "r", F.when(F.size("f") > 0, F.col("f")).otherwise(F.transform(part, lambda x: F.struct(x["d"].alias("d"), F.lit("").alias("q"), x["p"].alias("p"), x["t"].alias("t")))))
+    t = lines.select("doc_id", "line_no", F.trim("line").alias("line")).where(F.col("line").rlike(PAIR))
+    of = lambda x, p, k: F.regexp_extract(x, p, k)
+    t = once(t, "f", F.when(F.col("line").rlike(rf"\d\s*+(?<=\s){PAIR[2:]}"), F.regexp_extract_all("line", F.lit(STRUCTURED_AT), 0)).otherwise(F.array().cast("array<string>")))
+    full = F.transform("f", lambda x: F.struct(*(of(x, P.STRUCTURED, k).alias(n) for k, n in ((1, "d"), (2, "q"), (3, "p"), (4, "t")))))
+    part = F.transform(F.regexp_extract_all("line", F.lit(STRUCTURED_NO_QUANTITY_AT), 0), lambda x: F.struct(of(x, P.STRUCTURED_NO_QUANTITY, 1).alias("d"), F.lit("").alias("q"), *(of(x, P.STRUCTURED_NO_QUANTITY, k).alias(n) for k, n in ((2, "p"), (3, "t")))))
+    t = once(t, "r", F.when(F.size("f") > 0, full).otherwise(part))
     t = t.select("doc_id", "line_no", F.posexplode("r").alias("place", "x"))
     p, total = european_number(F.col("x.p")).cast("double"), european_number(F.col("x.t")).cast("double")
     t = t.select("doc_id", "line_no", "place", F.trim("x.d").alias("description"), F.col("x.q").try_cast("int").alias("q"), p.alias("unit_price"), total.alias("cost"))

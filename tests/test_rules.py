@@ -1,5 +1,9 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
+from quotemill import patterns as P
 from quotemill.operators import classify, cleanup, filters, lines, numbers, parsing, prices, scoring
 
 LINE = "doc_id long, line_no int, line string"
@@ -63,6 +67,22 @@ def test_items_by_pattern_and_by_robust_strategies(spark):
     assert robust[3] == ("last_two", 4.0, 10.0) and robust[2][0] == "money" and robust[2][1:] == (3.0, 30.0)
 
 
+def test_structured_items_of_long_lines_take_time_in_proportion(spark):
+    text = "steel rod 12 " * 20_000
+    began = time.monotonic()
+    got = prices.structured_items(of(spark, [text + "€1,00 €12,00", text + "€1,00", "a $1.00 $2.00" + " " * 200_000 + "b"])).collect()
+    assert time.monotonic() - began < 60 and [(r["line_no"], r["quantity"], r["cost"]) for r in got] == [(0, 12, 12.0)]
+
+
+def test_structured_patterns_match_the_same(spark):
+    r = random.Random(3)
+    bits = ["a", "Gear", "-", "(", " ", "  ", "\t", "5", "12", "€1,00", "$2.50", " €1.234,56", "€", ".", ",", "/", "é", "1.5", " 3 €1,00 €2,00", "x 2 $1.00  $2.00", " €1,00 €1.000,00"]
+    t = of(spark, ["".join(r.choices(bits, k=r.randint(1, 14))) for _ in range(5000)])
+    found = lambda p: F.regexp_extract_all("line", F.lit(p), 0)
+    for slow, fast in ((P.STRUCTURED, prices.STRUCTURED_AT), (P.STRUCTURED_NO_QUANTITY, prices.STRUCTURED_NO_QUANTITY_AT)):
+        assert t.where(found(slow) != found(fast)).count() == 0 and t.where(F.size(found(slow)) > 0).count() > 500
+
+
 def test_cleaning(spark):
     assert one(spark, "plate json data and 3", cleanup.final_description) == "plate" and one(spark, "ab", cleanup.final_description) == "" and one(spark, None, cleanup.final_description) is None
     assert one(spark, "steel a_b_c rod", cleanup.uncorrupted) == "steel rod"
