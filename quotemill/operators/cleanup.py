@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill import patterns as P
 from quotemill.operators import classify
+from quotemill.operators.numbers import once
 
 
 def collapsed(text: Column) -> Column:
@@ -42,9 +43,11 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     line = F.regexp_replace("line", r"[\x00-\x1f\x7f]", "")
     for pattern in P.PAGE_NOISE:
         line = F.regexp_replace(line, f"(?i){pattern}", "")
-    line = collapsed(F.regexp_replace(F.regexp_replace(line, P.KEPT_SIGNS, ""), P.RARE_CURRENCY, "€"))
-    t = lines.select("doc_id", "line_no", line.alias("line")).where(F.length("line") > 2)
-    return t.where(classify.noise_score(F.col("line")) < 7)
+    line = F.regexp_replace(F.regexp_replace(line, P.KEPT_SIGNS, ""), P.RARE_CURRENCY, "€")
+    # the noise of a line refers to it dozens of times: it is cleaned once, and parted at its single blanks once
+    t = once(lines.select("doc_id", "line_no", "line"), "line", F.trim(F.regexp_replace(line, r"\s{2,}|[^\S ]", " "))).where(F.length("line") > 2)
+    t = once(once(t, "w", F.split("line", " ")), "noise", classify.noise_score(F.col("line"), F.col("w")))
+    return t.where("noise < 7").select("doc_id", "line_no", "line")
 
 
 def without_artifacts(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,13 @@ def test_structured_patterns_match_the_same(spark):
         assert t.where(found(slow) != found(fast)).count() == 0 and t.where(F.size(found(slow)) > 0).count() > 500
 
 
+def test_clean_lines_cleans_each_line_once(spark):
+    texts = ["steel rod\x07 12 pcs Page 3 of 9 final", "see www.x.org/a bracket 12 €4", "paris (₽5) / rod", "Date: 2024 and so on", "a b c d e", "C:\\tmp\\x.pdf rod of steel.PDF", "ok", None]
+    t = cleanup.clean_lines(of(spark, texts))
+    assert [(r["line_no"], r["line"]) for r in t.orderBy("line_no").collect()] == [(0, "steel rod 12 pcs"), (1, "see bracket 12 €4"), (2, "paris (€5) rod"), (5, "rod of steel")]
+    assert t._jdf.queryExecution().optimizedPlan().toString().count(P.PAGE_NOISE[1]) == 1
+
+
 def test_cleaning(spark):
     assert one(spark, "plate json data and 3", cleanup.final_description) == "plate" and one(spark, "ab", cleanup.final_description) == "" and one(spark, None, cleanup.final_description) is None
     assert one(spark, "steel a_b_c rod", cleanup.uncorrupted) == "steel rod"
