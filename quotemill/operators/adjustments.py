@@ -1,6 +1,7 @@
 """Summary lines of a document (subtotal, tax, shipping, discount, total) and the ordered fold that applies them.
 
 Amounts are whole hundredths inside, so that no rounding hides: percentages are taken of the running total, half up.
+They are wide decimals, for a figure of a document may be of any length; a total beyond 38 digits is null.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from quotemill import patterns as P
 from quotemill.operators.numbers import last_separator_number
 
+WIDE = "decimal(38,0)"
+
 
 def extract(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, kind, value): the first pattern that fits each line; percentages as they stand."""
@@ -32,22 +35,23 @@ def apply(adjustments: DataFrame, costs: DataFrame) -> DataFrame:
     In order of priority and line: a subtotal or total that differs replaces the running total, tax and shipping are
     added, a discount taken off. Documents without adjustments keep their cost.
     """
-    row = F.struct(priority(F.col("kind")).alias("p"), "line_no", "kind", F.round(F.col("value").cast("decimal(18,2)") * 100).cast("long").alias("v"))
+    whole = lambda c: F.round(c.cast("decimal(30,2)") * 100).cast(WIDE)
+    row = F.struct(priority(F.col("kind")).alias("p"), "line_no", "kind", whole(F.col("value")).alias("v"))
     listed = adjustments.where(F.col("value").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    t = costs.select("doc_id", F.round(F.col("total_cost").cast("decimal(18,2)") * 100).cast("long").alias("cost")).join(listed, "doc_id", "left")
+    t = costs.select("doc_id", whole(F.col("total_cost")).alias("cost")).join(listed, "doc_id", "left")
     zero = F.struct(F.col("cost").alias("running"), F.expr("cast(array() as array<string>)").alias("steps"))
 
     def step(s: Column, r: Column) -> Column:
         run = s["running"]
-        part = F.floor((run * r["v"] + 5000) / F.lit(10000)).cast("long")
+        part = F.floor(F.try_divide(F.try_add(F.try_multiply(run, r["v"]), F.lit(5000)), F.lit(10000))).cast(WIDE)
         after = (
             F.when(r["kind"].isin("subtotal", "total"), r["v"])
-            .when(r["kind"] == "tax_percentage", run + part)
-            .when(r["kind"] == "discount_percentage", run - part)
-            .when(r["kind"] == "discount_amount", run - r["v"])
-            .otherwise(run + r["v"])
-        )
-        return F.struct(after.alias("running"), F.concat(s["steps"], F.array(F.concat(r["kind"], F.lit(": "), after.cast("string")))).alias("steps"))
-
-    t = t.withColumn("s", F.aggregate(F.coalesce("rows", F.expr("cast(array() as array<struct<p:int,line_no:int,kind:string,v:bigint>>)")), zero, step))
-    return t.select("doc_id", (F.col("cost") / 100).alias("subtotal"), (F.col("s.running") / 100).alias("final_total"), F.size("s.steps").alias("n_applied"), F.col("s.steps").alias("steps"))
+            .when(r["kind"] == "tax_percentage", F.try_add(run, part))
+            .when(r["kind"] == "discount_percentage", F.try_subtract(run, part))
+            .when(r["kind"] == "discount_amount", F.try_subtract(run, r["v"]))
+            .otherwise(F.try_add(run, r["v"]))
+        ).cast(WIDE)
+        return F.struct(after.alias("running"), F.concat(s["steps"], F.array(F.concat(r["kind"], F.lit(": "), F.coalesce(after.cast("string"), F.lit("?"))))).alias("steps"))
+
+    t = t.withColumn("s", F.aggregate(F.coalesce("rows", F.expr(f"cast(array() as array<struct<p:int,line_no:int,kind:string,v:{WIDE}>>)")), zero, step))
+    return t.select("doc_id", (F.col("cost").cast("double") / 100).alias("subtotal"), (F.col("s.running").cast("double") / 100).alias("final_total"), F.size("s.steps").alias("n_applied"), F.col("s.steps").alias("steps"))

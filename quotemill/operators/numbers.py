@@ -67,9 +67,9 @@ def last_separator_number(figure: Column) -> Column:
 
 
 def cents(raw: Column) -> Column:
-    """A TOKEN in hundredths: its digits, two of which are decimals after a mark."""
+    """A TOKEN in hundredths: its digits, two of which are decimals after a mark; null beyond 64 bits."""
     digits = F.regexp_replace(raw, "[.,]", "").try_cast("long")
-    return F.when(raw.rlike(r"[.,]\d{2}$"), digits).otherwise(digits * 100)
+    return F.when(raw.rlike(r"[.,]\d{2}$"), digits).otherwise(F.try_multiply(digits, F.lit(100)))
 
 
 def infer_quantity(unit: Column, total: Column) -> Column:

@@ -50,8 +50,12 @@ def items_of(rows: DataFrame) -> DataFrame:
 
     def fit(kind: int, i: Column, q: Column, price: Column, total: Column, left: Column, right: Column, rough: bool = False) -> Column:
         p, total, total_figure = price["c"], total["c"], total
-        product = F.try_multiply(q["q"].cast("long"), p)
-        off = F.abs(product - total)
+        # most fit 64 bits; a product or difference that would not is computed wide
+        narrow = F.abs(p).between(0, 10**12) & F.abs(total).between(0, 10**17)
+        sized = lambda exact, wide: F.when(narrow, exact.cast("double")).otherwise(wide.cast("double"))
+        wide = q["q"].cast("decimal(10,0)") * p.cast("decimal(19,0)")
+        product = sized(q["q"].cast("long") * p, wide)
+        off = sized(F.abs(q["q"].cast("long") * p - total), F.abs(wide - total.cast("decimal(19,0)")))
         near = (off <= 50) | (off <= 0.15 * F.abs(product)) if rough else (off <= 1) | (10.0 * off <= F.abs(total))
         level = F.lit(-1) if rough else (off <= 1).cast("int")
         if kind < 3 or rough:

@@ -90,6 +90,16 @@ def test_adjustments_fold_in_order_of_priority(spark):
     assert (got[2]["subtotal"], got[2]["final_total"], got[2]["n_applied"]) == (7.5, 7.5, 0)
 
 
+def test_totals_of_documents_with_figures_of_any_length(spark):
+    texts = ["steel rod 2 $3.00 $6.00\nserial 123456789012345678 of 4", "steel rod 2 $3.00 $6.00\nSubtotal: 99999999999999\nTax: 10%", "part 99999 9223372036854775.00 -9223372036854775.00\nrod 2 $3.00 $6.00", "bolt 1 $20000000000000000.00 $20000000000000000.00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["subtotal"], r["final_total"], r["n_applied"]) for r in parsing.final_totals(docs).collect()}
+    assert got == {0: (6.0, 6.0, 0), 1: (6.0, 109999999999998.9, 2), 2: (-9223372036854770.0, -9223372036854770.0, 0), 3: (2e16, 2e16, 0)}
+    adj = spark.createDataFrame([(1, 0, "tax_percentage", 1e13)], "doc_id long, line_no int, kind string, value double")
+    costs = spark.createDataFrame([(1, 1e20)], "doc_id long, total_cost double")
+    assert adjustments.apply(adj, costs).first()["n_applied"] == 1
+
+
 def test_grouping_partitions_items(spark):
     items = spark.createDataFrame([(1, 0, "a", 2, 1.0, 2.0), (1, 1, "b", 2, 3.0, 6.0), (1, 2, "c", None, 5.0, 5.0)], "doc_id long, line_no int, description string, quantity int, unit_price double, cost double")
     assert rows(grouping.totals(grouping.by_quantity(items))) == [(1, 5, 9.0, 13.0, 2)]
