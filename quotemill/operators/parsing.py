@@ -18,57 +18,88 @@ from pyspark.sql import types as T
 
 from quotemill import patterns as P
 from quotemill.operators import adjustments, classify, cleanup, filters, grouping, lines
-from quotemill.operators.numbers import cents, infer_quantity, once, with_tokens
+from quotemill.operators.numbers import cents, infer_quantity, once
 
 
 SIGN = "[$€£¥₹]"
 MINUS = rf"(?:^|[\s(:])-{SIGN}?\s?$|{SIGN}\s?-$"
 REDUCTION = rf"\b(?:{'|'.join(P.DISCOUNT)})s?\b"
-SUMMARY = "|".join(pattern for _, pattern in P.ADJUSTMENTS)
+#: All of them hold at the beginning of a line: anchored once, they are not tried at every character.
+SUMMARY = f"^(?:{'|'.join(pattern.removeprefix('^') for _, pattern in P.ADJUSTMENTS)})"
 
 
 def items_of(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, description, quantity, unit_price, cost) of lines(doc_id, line_no, line)."""
-    t = with_tokens(rows, "t", "line", P.TOKEN).where(F.size("t") >= 2)
+    t = once(rows, "raw", F.regexp_extract_all("line", F.lit(P.TOKEN), 0)).where(F.size("raw") >= 2)
+    # the texts before, between and behind the figures: the places of the few that are asked for follow from them
+    t = once(t, "gap", F.split("line", P.TOKEN, -1))
     t = once(t, "signed", F.col("line").rlike(rf"-{SIGN}?\s?\d"))
-    before = lambda x: F.substring("line", F.greatest(x["start"] - 3, F.lit(1)), F.least(x["start"], F.lit(4)))
+    n = F.size("raw")
 
-    def read(x: Column) -> Column:
-        c = cents(x["raw"])
-        return F.struct(x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), F.when(x["raw"].rlike(r"^\d{1,6}$"), x["raw"].try_cast("int")).alias("q"), F.when(F.col("signed") & before(x).rlike(MINUS), -c).otherwise(c).alias("c"))
+    def read(raw: Column, i: Column) -> Column:
+        c = cents(raw)
+        # a figure ends in a digit, which stands before the text between it and the next
+        behind = F.concat(F.when(i > 0, "0").otherwise(""), F.get("gap", i))
+        return F.struct(F.when(raw.rlike(r"^\d{1,6}$"), raw.try_cast("int")).alias("q"), F.when(F.col("signed") & F.right(behind, F.lit(4)).rlike(MINUS), -c).otherwise(c).alias("c"))
 
-    def marked(x: Column) -> Column:
-        # whether a figure is written as an amount, with two decimals or a sign of currency, or as a percentage
-        behind, decimals = F.substring("line", x["end"] + 1, F.lit(4)), F.substring("line", x["end"] - 2, F.lit(3)).rlike(r"[.,]\d{2}$") & x["q"].isNull()
-        return F.struct(*(x[k].alias(k) for k in ("start", "end", "q", "c")), (decimals | before(x).rlike(rf"{SIGN}\s?-?$") | behind.rlike(rf"^\s?{SIGN}(?!\s?[-\d])")).alias("amount"), F.startswith(F.ltrim(behind), F.lit("%")).alias("percent"))
+    t = once(t, "t", F.transform("raw", read))
+
+    def close(product: Column, off: Column, total: Column, rough: bool) -> Column:
+        return (off <= 50) | (off <= 0.15 * product) if rough else (off <= 1) | (10.0 * off <= F.abs(total))
 
-    t = once(t, "t", F.transform("t", read))
-    n, at = F.size("t"), lambda i: F.get("t", i)
+    def differ(q: Column, p: Column, total: Column) -> Column:
+        # size of the product and its distance from the total; most fit 64 bits, what would not is computed wide
+        narrow = F.abs(p).between(0, 10**12) & F.abs(total).between(0, 10**17)
+        sized = lambda exact, wide: F.when(narrow, exact.cast("double")).otherwise(wide.cast("double"))
+        wide = q.cast("decimal(10,0)") * p.cast("decimal(19,0)")
+        return F.struct(sized(F.abs(q.cast("long") * p), F.abs(wide)).alias("product"), sized(F.abs(q.cast("long") * p - total), F.abs(wide - total.cast("decimal(19,0)"))).alias("off"))
+
+    # three in a row: those with a quantity first, of these those that fit
+    windows = F.filter(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(i.cast("int").alias("i"), F.get("t", i)["q"].alias("q"), F.get("t", i + 1)["c"].alias("p"), F.get("t", i + 2)["c"].alias("total"))), lambda w: w["q"].between(1, 100000) & (w["p"] != 0) & (w["total"] != 0))
+    fits = F.filter(F.transform(windows, lambda w: F.struct(w.alias("w"), differ(w["q"], w["p"], w["total"])["off"].alias("off"))), lambda x: close(None, x["off"], x["w"]["total"], False))
+    best = F.array_max(F.transform(fits, lambda x: F.struct((x["off"] <= 1).cast("int").alias("level"), x["w"].alias("w"))))
+    t = once(t, "best", F.when(n >= 3, best))
 
     def item(level: Column, kind: int, i: Column, q: Column, p: Column, total: Column, left: Column, right: Column, stop: Column | None = None) -> Column:
         return F.struct(level.alias("level"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), q.cast("int").alias("q"), p.alias("p"), total.alias("total"), left.cast("int").alias("left"), right.cast("int").alias("right"), (F.length("line") if stop is None else stop).cast("int").alias("stop"))
 
+    length = lambda name, start, count: F.length(F.array_join(F.slice(name, start, count), ""))
+    i = F.col("best.w.i")
+    at_i = length("gap", F.lit(1), i + 1) + length("raw", F.lit(1), i)
+    after = at_i + length("raw", i + 1, F.lit(3)) + length("gap", i + 2, F.lit(2))
+    t = once(t, "row", F.when(F.col("best").isNotNull(), item(F.col("best.level"), 3, i, F.col("best.w.q"), F.col("best.w.p"), F.col("best.w.total"), F.lit(0), at_i, after)))
+
+    # the rest only where no three in a row fit exactly: by the first two and the last three figures
+    open_ = F.col("row").isNull() | (F.col("row.level") < 1)
+    size = lambda name, k: F.length(F.get(name, k))
+    second_at = size("gap", F.lit(0)) + size("raw", F.lit(0)) + size("gap", F.lit(1))
+    ends_at = [F.length("line") - size("gap", n)]
+    for k in (1, 2):
+        ends_at.append(ends_at[-1] - size("raw", n - k) - size("gap", n - k))
+    places = [(F.lit(0), size("gap", F.lit(0)), None), (F.lit(1), second_at, None), *((n - k - 1, e - size("raw", n - k - 1), e) for k, e in enumerate(ends_at))]
+
+    def figure(k: Column, start: Column, end: Column | None) -> Column:
+        got = F.get("t", k)
+        return F.struct(start.alias("start"), (start + size("raw", k) if end is None else end).alias("end"), got["q"].alias("q"), got["c"].alias("c"), F.get("raw", k).alias("raw"))
+
+    t = once(t, "p", F.when(open_, F.array(*(figure(*x) for x in places))))
+    before = lambda x: F.substring("line", F.greatest(x["start"] - 3, F.lit(1)), F.least(x["start"], F.lit(4)))
+
+    def marked(x: Column) -> Column:
+        # whether a figure is written as an amount, with two decimals or a sign of currency, or as a percentage
+        behind, decimals = F.substring("line", x["end"] + 1, F.lit(4)), x["raw"].rlike(r"[.,]\d{2}$") & x["q"].isNull()
+        return F.struct(*(x[k].alias(k) for k in ("start", "end", "q", "c")), (decimals | before(x).rlike(rf"{SIGN}\s?-?$") | behind.rlike(rf"^\s?{SIGN}(?!\s?[-\d])")).alias("amount"), F.startswith(F.ltrim(behind), F.lit("%")).alias("percent"))
+
+    t = once(t, "e", F.when(open_, F.array(*(marked(F.col("p")[k]) for k in range(5)))))
+
     def fit(kind: int, i: Column, q: Column, price: Column, total: Column, left: Column, right: Column, rough: bool = False) -> Column:
         p, total, total_figure = price["c"], total["c"], total
-        # most fit 64 bits; a product or difference that would not is computed wide
-        narrow = F.abs(p).between(0, 10**12) & F.abs(total).between(0, 10**17)
-        sized = lambda exact, wide: F.when(narrow, exact.cast("double")).otherwise(wide.cast("double"))
-        wide = q["q"].cast("decimal(10,0)") * p.cast("decimal(19,0)")
-        product = sized(q["q"].cast("long") * p, wide)
-        off = sized(F.abs(q["q"].cast("long") * p - total), F.abs(wide - total.cast("decimal(19,0)")))
-        near = (off <= 50) | (off <= 0.15 * F.abs(product)) if rough else (off <= 1) | (10.0 * off <= F.abs(total))
-        level = F.lit(-1) if rough else (off <= 1).cast("int")
-        if kind < 3 or rough:
-            # figures apart from each other, or far from fitting: those of running text, dates and numbers of offers, would do so by chance
-            near &= (price["amount"] & total_figure["amount"]) | ((off <= 1) & (price["amount"] | total_figure["amount"]))
-        return F.when(q["q"].between(1, 100000) & (p != 0) & (total != 0) & near, item(level, kind, i, q["q"], p, total, left, right, total_figure["end"] if kind == 3 else None))
+        d = differ(q["q"], p, total)
+        # figures apart from each other, or far from fitting: those of running text, dates and numbers of offers, would do so by chance
+        near = close(d["product"], d["off"], total, rough) & ((price["amount"] & total_figure["amount"]) | ((d["off"] <= 1) & (price["amount"] | total_figure["amount"])))
+        return F.when(q["q"].between(1, 100000) & (p != 0) & (total != 0) & (price["amount"] | total_figure["amount"]) & near, item(F.lit(-1) if rough else (d["off"] <= 1).cast("int"), kind, i, q["q"], p, total, left, right, total_figure["end"] if kind == 3 else None))
 
     zero = F.lit(0)
-    in_a_row = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: fit(3, i, at(i), at(i + 1), at(i + 2), zero, at(i)["start"]))
-    t = once(t, "row", F.when(n >= 3, F.array_max(F.filter(in_a_row, lambda w: w.isNotNull()))))
-    # the rest only where no three in a row fit exactly
-    open_ = F.col("row").isNull() | (F.col("row.level") < 1)
-    t = once(t, "e", F.when(open_, F.transform(F.array(at(zero), at(F.lit(1)), at(n - 1), at(n - 2), F.get("t", F.greatest(n - 3, zero))), marked)))
     first, second, *last = (F.col("e")[k] for k in range(5))
     quantity_first = F.when(n >= 3, fit(2, zero, first, last[1], last[0], first["end"], last[1]["start"]))
     price_first = F.when(n >= 3, fit(1, zero, last[1], last[2], last[0], zero, last[2]["start"]))
@@ -80,11 +111,11 @@ def items_of(rows: DataFrame) -> DataFrame:
     side_by_side = lambda a, b: F.substring("line", a["end"] + 1, b["start"] - a["end"]).rlike(rf"^(?:\s|{SIGN}|-)*$")
     counted = first["q"].between(1, 100000) & ~first["amount"] & ~first["percent"]
     cost = F.try_multiply(first["q"].cast("long"), second["c"])
-    discount = F.when(whole & less & (first["start"] > 0) & second["amount"] & side_by_side(first, second), F.when(counted & (second["c"] != 0) & cost.isNotNull(), item(F.lit(-2), 0, zero, first["q"], second["c"], cost, zero, first["start"])).when(first["amount"] & (first["c"] != 0), item(F.lit(-2), 0, zero, F.lit(1), first["c"], first["c"], zero, first["start"])))
+    discount = F.when((first["start"] > 0) & second["amount"] & side_by_side(first, second) & whole & less, F.when(counted & (second["c"] != 0) & cost.isNotNull(), item(F.lit(-2), 0, zero, first["q"], second["c"], cost, zero, first["start"])).when(first["amount"] & (first["c"] != 0), item(F.lit(-2), 0, zero, F.lit(1), first["c"], first["c"], zero, first["start"])))
     behind = F.substring("line", last[0]["end"] + 1, F.lit(8))
     ends = last[0]["amount"] & last[1]["amount"] & side_by_side(last[1], last[0]) & behind.rlike(rf"^(?:\s|{SIGN})*$")
     inferred = infer_quantity(last[1]["c"], last[0]["c"])
-    pair = F.when(whole & ends & (last[1]["c"] != 0) & (last[0]["c"] != 0) & F.substring("line", F.lit(1), last[1]["start"]).rlike(r"\p{L}{2}"), item(F.lit(-3), 0, zero, inferred, last[1]["c"], last[0]["c"], zero, last[1]["start"]))
+    pair = F.when(ends & (last[1]["c"] != 0) & (last[0]["c"] != 0) & whole & F.substring("line", F.lit(1), last[1]["start"]).rlike(r"\p{L}{2}"), item(F.lit(-3), 0, zero, inferred, last[1]["c"], last[0]["c"], zero, last[1]["start"]))
 
     others = F.array_max(F.filter(F.array(F.col("row"), quantity_first, price_first, roughly, discount, pair), lambda w: w.isNotNull()))
     t = once(t, "w", F.when(open_, others).otherwise(F.col("row"))).where("w is not null")
