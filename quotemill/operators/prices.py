@@ -114,7 +114,8 @@ STRUCTURED_NO_QUANTITY_AT = rf"{DESCRIBED}{AMOUNTS}"
 
 def structured_items(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, place, description, quantity, unit_price, cost): description, quantity and two amounts with a sign
-    of currency; without a quantity it is what the amounts make it. A line may hold several."""
+    of currency; without a quantity, or with one beyond 32 bits, it is what the amounts make it, null where that is beyond
+    them too. A line may hold several."""
     t = lines.select("doc_id", "line_no", F.trim("line").alias("line")).where(F.col("line").rlike(PAIR))
     of = lambda x, p, k: F.regexp_extract(x, p, k)
     t = once(t, "f", F.when(F.col("line").rlike(rf"\d\s*+(?<=\s){PAIR[2:]}"), F.regexp_extract_all("line", F.lit(STRUCTURED_AT), 0)).otherwise(F.array().cast("array<string>")))
@@ -124,7 +125,7 @@ def structured_items(lines: DataFrame) -> DataFrame:
     t = t.select("doc_id", "line_no", F.posexplode("r").alias("place", "x"))
     p, total = european_number(F.col("x.p")).cast("double"), european_number(F.col("x.t")).cast("double")
     t = t.select("doc_id", "line_no", "place", F.trim("x.d").alias("description"), F.col("x.q").try_cast("int").alias("q"), p.alias("unit_price"), total.alias("cost"))
-    inferred = F.when(F.col("unit_price") > 0, F.bround(F.col("cost") / F.col("unit_price"), 0)).otherwise(1).cast("int")
+    inferred = F.when(F.col("unit_price") > 0, F.bround(F.col("cost") / F.col("unit_price"), 0)).otherwise(1).try_cast("int")
     t = t.where((F.length("description") > 2) & ~F.col("description").isin("SUBTOTAL", "TOTAL", "TAX") & F.col("unit_price").isNotNull() & F.col("cost").isNotNull())
     return t.select("doc_id", "line_no", "place", "description", F.coalesce("q", inferred).alias("quantity"), "unit_price", "cost")
 

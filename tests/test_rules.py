@@ -74,6 +74,12 @@ def test_structured_items_of_long_lines_take_time_in_proportion(spark):
     assert time.monotonic() - began < 60 and [(r["line_no"], r["quantity"], r["cost"]) for r in got] == [(0, 12, 12.0)]
 
 
+def test_structured_items_of_figures_of_any_length(spark):
+    t = of(spark, ["Cover plate €12,06 €6000000000003,00", "Gear rack 500000000000 €0,73 €36,50", "Housing 500000000000 €0,01 €6000000000003,00", "Bushing 7 $1.00 $6000000000003.00", "Spacer €1,00 €2147483647,00", "Bracket €1,00 €2147483648,00", "Bolt 2 €1,00 €12345678901234567,00", "Widget 3 $10.00 $30.00"])
+    got = {r["line_no"]: (r["description"], r["quantity"], r["unit_price"], r["cost"]) for r in prices.structured_items(t).collect()}
+    assert got == {0: ("Cover plate", None, 12.06, 6000000000003.0), 1: ("Gear rack", 50, 0.73, 36.5), 2: ("Housing", None, 0.01, 6000000000003.0), 3: ("Bushing", 7, 1.0, 6000000000003.0), 4: ("Spacer", 2147483647, 1.0, 2147483647.0), 5: ("Bracket", None, 1.0, 2147483648.0), 7: ("Widget", 3, 10.0, 30.0)}
+
+
 def test_structured_patterns_match_the_same(spark):
     r = random.Random(3)
     bits = ["a", "Gear", "-", "(", " ", "  ", "\t", "5", "12", "€1,00", "$2.50", " €1.234,56", "€", ".", ",", "/", "é", "1.5", " 3 €1,00 €2,00", "x 2 $1.00  $2.00", " €1,00 €1.000,00"]
